@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import byte_bpe, language, quality, simhash
+from gleaner.llm import byte_bpe, language, mixing, quality, simhash
 from gleaner.llm.common import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language.learn(docs.where(~held_out(4, 2)))
@@ -40,4 +44,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.ORACLE}
