@@ -33,6 +33,8 @@ from gleaner.llm.components import components
 
 RADIUS = 3
 HALVES = 32
+#: Up to so many fingerprints that share a half are tested against each other before they emit variants; larger groups all emit.
+TESTED = 64
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -69,14 +71,22 @@ def _low_half() -> Column:
 
 
 def sharing_halves(classes: DataFrame) -> DataFrame:
-    """Those distinct fingerprints which share a half, up to one bit, with some other."""
+    """Distinct fingerprints which may have a partner: all that have one share a half with it, up to one bit.
+
+    Chance collisions, which grow faster than the corpus, are sorted out here where a half's group is small.
+    """
     bits = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(HALVES)])
     halves = classes.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), _low_half().alias("half")), F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", HALVES).alias("half")))).alias("h")).select("fp", "h.side", "h.half")
     flips = F.when(F.bit_count("half") % 2 == 0, bits).otherwise(F.slice(bits, 1, 1))
     # an odd half meets even ones only at itself: as a centre; two equal even halves meet there too
     keyed = halves.withColumn("flip", F.explode(flips)).select("fp", "side", F.col("half").bitwiseXOR(F.col("flip")).alias("half"))
-    shared = keyed.groupBy("side", "half").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("side", "half")
-    return keyed.join(shared, ["side", "half"]).select("fp").distinct()
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= RADIUS
+    shared = keyed.groupBy("side", "half").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
+    pairs = shared.where((F.col("n") == 2) & near(F.col("a"), F.col("b"))).select(F.explode(F.array("a", "b")).alias("fp"))
+    grouped = keyed.join(shared.where("n > 2").select("side", "half", "n"), ["side", "half"])
+    small = grouped.where(F.col("n") <= TESTED).groupBy("side", "half").agg(F.collect_list("fp").alias("members"))
+    small = small.select(F.explode(F.filter("members", lambda x: F.exists("members", lambda y: (x != y) & near(x, y)))).alias("fp"))
+    return pairs.unionByName(small).unionByName(grouped.where(F.col("n") > TESTED).select("fp")).distinct()
 
 
 def variants(fps: DataFrame) -> DataFrame:
