@@ -9,7 +9,8 @@ block, and the labels of its nearest neighbours are weighted by similarity.
 
 The labelled sample is bounded: about `most_labelled` rows, chosen by a hash of the key, half for each label
 where there are as many.  So what goes to the driver and back out by broadcast is most_labelled x (TERMS + 1)
-small numbers at most, whatever the corpus holds.  With several rows for a key, each label row counts.
+small numbers at most, whatever the corpus holds.  Repeats of a key's label are one; a key with both labels
+counts for each.
 
 Defined results: empty and null texts score too (they have the zero vector, similarity 0 to all: the sample's
 mean label); with no labels every score is 0.5; ties among neighbours go to the earlier one by key.
@@ -112,12 +113,17 @@ class Model:
         return np.where(total > 1e-12, (weight * self.labels[at]).sum(1) / np.maximum(total, 1e-12), mean).clip(0, 1)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", most_labelled: int = MOST_LABELLED) -> Model:
-    """Learn from rows with a label of 0 or 1; see the module for the bound."""
-    rows = labelled.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), F.col(label).cast("int").alias("label")).where("label in (0, 1)")
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most_labelled: int = MOST_LABELLED) -> Model:
+    """Learn from the documents whose key has a label of 0 or 1; see the module for the bound.
+
+    Keys are sampled before texts are read, so what is joined to the documents is bounded and no text is shuffled.
+    """
+    named = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and key is not null").distinct()
+    sizes = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*[x for y in (0, 1) for x in (F.lit(y), F.lit(min(1.0, most_labelled / 2 / max(1, sizes.get(y, 0)))))])
-    sample = rows.where((F.xxhash64("key", F.lit("quality sample")) / F.lit(2.0**64) + 0.5) < share[F.col("label")])
+    chosen = named.where((F.xxhash64(F.col("key").cast("string"), F.lit("quality sample")) / F.lit(2.0**64) + 0.5) < share[F.col("label")])
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    sample = rows.join(F.broadcast(chosen), "key").select(F.col("key").cast("string").alias("key"), "text", "label")  # about most_labelled rows
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms()
@@ -146,14 +152,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return rows.mapInPandas(run, "key string, score double").select(F.col("key").cast(kind).alias(key), "score")
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Join texts with their labels by doc_id."""
-    return docs.select("doc_id", "text").join(labels.select("doc_id", F.col(label).alias("label")), "doc_id")
-
-
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **bounds) -> DataFrame:
     """docs without the documents that score under `least`; all rows of a key share one decision only if their texts do."""
-    model = fit(labelled_texts(docs, labels), **bounds)
+    model = fit(docs, labels, **bounds)
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 

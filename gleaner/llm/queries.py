@@ -39,7 +39,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(quality.labelled_texts(docs.where(~held_out(3, 1)), table(spark, sf_dir, "labels")))
+    model = quality.fit(docs.where(~held_out(3, 1)), table(spark, sf_dir, "labels").where(~held_out(3, 1)))
     return quality.score(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

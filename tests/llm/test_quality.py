@@ -28,12 +28,12 @@ def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "good words here"), (3, "good words here"), (None, "JUNK!! JUNK!!"), (4, "x " * 50000), (5, "İß"), (6, "\n\n")]
     docs = spark.createDataFrame([(*r, 0, "x") for r in rows], "doc_id long, text string, score int, label string")
     labels = spark.createDataFrame([(3, 1, 0), (4, 0, 0), (5, None, 0), (None, 1, 1), (9, 0, 0)], "doc_id long, quality int, toxic int")
-    model = quality.fit(quality.labelled_texts(docs, labels))
+    model = quality.fit(docs, labels)
     assert len(model.labels) == 3
     got = quality.score(docs, model).collect()
     assert [r.doc_id for r in got] == [k for k, _ in rows] and all(0 <= r.score <= 1 for r in got) and got[2].score > 0.5 > got[5].score
     kept = quality.keep_good(docs, labels)
     assert kept.columns == docs.columns and kept.count() == sum(r.score >= 0.5 for r in got)
-    nothing = quality.fit(quality.labelled_texts(docs, labels.limit(0)))
+    nothing = quality.fit(docs, labels.limit(0))
     assert {r.score for r in quality.score(docs, nothing).collect()} == {0.5}
     assert quality.score(docs.limit(0), model).count() == 0
