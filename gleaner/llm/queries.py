@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import byte_bpe, language, mixing, quality, secrets, simhash, urls
+from gleaner.llm import byte_bpe, language, mixing, quality, secrets, simhash, topk, urls
 from gleaner.llm.common import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -47,9 +47,13 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.RULES, urls.tracked())
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0", 20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE, "op4_secrets": secrets.ORACLE, "op8_urls": urls.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op4_secrets": secrets.ORACLE, "op8_urls": urls.ORACLE, "op10_topk": topk.ORACLE}
