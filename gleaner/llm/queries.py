@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import byte_bpe, language, mixing, quality, secrets, simhash, topk, urls
+from gleaner.llm import byte_bpe, language, mixing, parsing, quality, secrets, simhash, topk, urls
 from gleaner.llm.common import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -47,6 +47,10 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.RULES, urls.tracked())
 
 
+def op9_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "id % 20 = 0", 20)
 
