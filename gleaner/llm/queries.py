@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import byte_bpe, language, mixing, parsing, quality, secrets, simhash, topk, urls
+from gleaner.llm import byte_bpe, language, mixing, parsing, quality, repeats, secrets, simhash, topk, urls
 from gleaner.llm.common import held_out, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(table(spark, sf_dir, "documents"), least=200)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
     return found.select("doc_id", simhash.hex16("fp").alias("fingerprint"), found["component"].alias("component_id"))
