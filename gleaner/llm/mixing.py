@@ -121,6 +121,13 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return _same_source(out, by_source).select(F.col("key").alias(key), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def take(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """docs with each row as often as the mix takes it; rows without words are in no target and stay out.  Rows that repeat a key are taken alike."""
+    taken = mix(docs, key, **options).groupBy(F.col(key).alias("__key")).agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    met = docs.join(taken, docs[key].eqNullSafe(taken["__key"]))
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
 ORACLE = """
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
