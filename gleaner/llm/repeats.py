@@ -11,9 +11,11 @@ most 2 x LEAST - KGRAM.  The pieces of all documents are the leaves of one suffi
    sorted (suffix array) with common prefix lengths (LCP array), and a stack scan over the LCP intervals yields
    the maximal repeats: intervals of at least LEAST whose occurrences differ in the byte to the left.  Each is
    a group with all its occurrences, not only neighbours.
-4. An anchor with more than LEAVES leaves is split into several suffix arrays.  Each hands on one digest for
-   each different window, the digests are counted across the parts with partial aggregation, and windows that
-   repeat across parts are added.  So no task holds more than LEAVES pieces of an anchor.
+4. An anchor with more than LEAVES leaves is split into several suffix arrays.  Each hands on its different
+   windows, in runs of RUN places with a digest of the bytes that all windows of the run hold.  Digests are
+   counted across the parts with partial aggregation; only runs whose digest occurs again are opened and their
+   windows counted likewise, and windows that repeat across parts are added.  So no task holds more than LEAVES
+   pieces of an anchor.
 
 Pieces that repeat within one document are decided where they are read, so periodic texts stay small.
 
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import stash, text_or_empty
 
 LEAST, KGRAM = 200, 32
-LEAVES = 256
+LEAVES, RUN = 256, 16
 CHUNK = 1 << 20  # bytes that are hashed in one pass; 24 bits of a packed hash hold a place in it
 PLACE = np.uint64((1 << 24) - 1)
 LONGEST = 1 << 20  # of one span, so that start and length fit a long
@@ -105,6 +107,11 @@ def packed(start: int, length: int) -> int:
     return start << 21 | length
 
 
+def _piece(place: int) -> tuple[int, int, int]:
+    """(start, windows, anchor's place in the piece) of a packed piece: start << 21 | anchor << 9 | windows."""
+    return place >> 21, place & 511, place >> 9 & 4095
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, e in sorted(spans):
@@ -116,7 +123,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def read_pieces(docs: DataFrame, least: int, kgram: int) -> DataFrame:
-    """docs(k, th, text) -> (anchor, leaf, n, place, k, th): pieces with their place (start << 21 | windows); anchor null: a span (start << 21 | length) known to repeat.
+    """docs(k, th, text) -> (anchor, leaf, n, place, k, th): pieces with their place (see _piece); anchor null: a span (start << 21 | length) known to repeat.
 
     leaf is a hash of the piece's bytes and its anchor's place in them; n is 2 if the text has it more than once.
     """
@@ -152,7 +159,7 @@ def read_pieces(docs: DataFrame, least: int, kgram: int) -> DataFrame:
                         own[key] = first, 2
                         spans += [(first >> 21, (first >> 21) + n + least - 1), (start, start + n + least - 1)]
                     else:
-                        own[key] = packed(start, n), 1
+                        own[key] = packed(start, place << 9 | n), 1
                 if last >= 0:
                     end(last)
                 at = pa.array(rows[0], pa.int32())
@@ -210,38 +217,44 @@ def _ranges(flags: list[bool] | bytearray) -> Iterator[tuple[int, int]]:
 
 
 def search(leaves: DataFrame, least: int) -> DataFrame:
-    """leaves(anchor, part, parts, n, place, k, th, bytes) -> (k, th, span, anchor, digest, n).
+    """leaves(anchor, part, parts, leaf, n, place, k, th, bytes) -> (k, th, span, anchor, digest, windows).
 
-    Rows with a null digest are spans that repeat within a part.  Others tell of an anchor in several parts: n is
-    how often a window with this digest occurs here, 2 for more than once; if once, span is its place.
+    Rows with a null digest are spans that repeat within a part.  Others tell of an anchor in several parts: a run
+    of different windows with the digest of what they have in common; windows is an array of (digest, n, span), n
+    being 2 for a window that occurs here more than once.
     """
     import xxhash
 
     def bucket(rows: list[dict]) -> Iterator[tuple]:
-        texts = [(r["bytes"], (r["place"] & (1 << 21) - 1)) for r in rows]
+        shapes = [_piece(r["place"]) for r in rows]
+        texts = [(r["bytes"], windows) for r, (_, windows, _) in zip(rows, shapes, strict=True)]
         hit = [bytearray(n) for _, n in texts]
         for length, occurrences in maximal_repeats(texts, least):
             for i, p in occurrences:  # the repeat covers all windows from p on that lie inside it
                 for x in range(p, min(p + length - least + 1, len(hit[i]))):
                     hit[i][x] = 1
-        for r, flags, (raw, windows) in zip(rows, hit, texts, strict=True):
-            start = r["place"] >> 21
+        for r, flags, (start, _, _) in zip(rows, hit, shapes, strict=True):
             if r["n"] == 1:
                 for a, b in _ranges(flags):
-                    yield r["k"], r["th"], packed(start + a, b - a + least), None, None, 1
+                    yield r["k"], r["th"], packed(start + a, b - a + least), None, None, None
         if rows[0]["parts"] > 1:
-            told: dict[int, list] = {}
-            for r, flags, (raw, windows) in zip(rows, hit, texts, strict=True):
+            told: dict[int, dict] = {}
+            runs: dict[tuple[int, int], list[dict]] = {}
+            for i, (r, flags, (start, windows, anchor)) in enumerate(zip(rows, hit, shapes, strict=True)):
                 for p in range(windows):
-                    digest = xxhash.xxh3_64_intdigest(raw[p : p + least], 1) - (1 << 63)
+                    digest = xxhash.xxh3_64_intdigest(r["bytes"][p : p + least], anchor - p) - (1 << 63)
                     if digest in told:
-                        told[digest][5] = 2
+                        told[digest]["n"] = 2
                     else:
-                        told[digest] = [r["k"], r["th"], packed((r["place"] >> 21) + p, least), r["anchor"], digest, 2 if flags[p] or r["n"] > 1 else 1]
-            yield from told.values()
+                        told[digest] = {"digest": digest, "n": 2 if flags[p] or r["n"] > 1 else 1, "span": packed(start + p, least)}
+                        runs.setdefault((i, (anchor - p) // RUN), []).append(told[digest])
+            for (i, run_), windows in runs.items():
+                first = shapes[i][2] - RUN * run_  # of the run's last window; the first one ends RUN - 1 earlier
+                common = xxhash.xxh3_64_intdigest(rows[i]["bytes"][first : first + least - RUN + 1], run_) - (1 << 63)
+                yield rows[i]["k"], rows[i]["th"], None, rows[i]["anchor"], common, windows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k", "th", "span", "anchor", "digest", "n"]
+        names = ["k", "th", "span", "anchor", "digest", "windows"]
         held: list[dict] = []
         out: list[tuple] = []
 
@@ -250,7 +263,7 @@ def search(leaves: DataFrame, least: int) -> DataFrame:
             out.clear()
             return batch
 
-        kinds = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        kinds = [None, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("digest", pa.int64()), ("n", pa.int32()), ("span", pa.int64())]))]
         for b in batches:
             kinds[0] = b.schema.field("k").type
             for r in b.to_pylist():
@@ -269,7 +282,7 @@ def search(leaves: DataFrame, least: int) -> DataFrame:
 
     kind = dict(leaves.dtypes)["k"]
     dealt = leaves.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "leaf")
-    return dealt.select("anchor", "part", "parts", "leaf", "n", "place", "k", "th", "bytes").mapInArrow(run, f"k {kind}, th int, span long, anchor long, digest long, n int")
+    return dealt.select("anchor", "part", "parts", "leaf", "n", "place", "k", "th", "bytes").mapInArrow(run, f"k {kind}, th int, span long, anchor long, digest long, windows array<struct<digest:long,n:int,span:long>>")
 
 
 def _fetched(asked: DataFrame, docs: DataFrame, least: int) -> DataFrame:
@@ -286,7 +299,7 @@ def _fetched(asked: DataFrame, docs: DataFrame, least: int) -> DataFrame:
                 at = pa.array(np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy())), pa.int32())
                 texts = [t.encode("utf-8", "surrogatepass") for t in b.column(2).to_pylist()]
                 fields = dict(zip([f.name for f in rows.type], rows.flatten(), strict=True))
-                cut = [texts[j][(p >> 21) : (p >> 21) + (p & (1 << 21) - 1) + least - 1] for j, p in zip(at.to_pylist(), fields["place"].to_pylist(), strict=True)]
+                cut = [texts[j][(p >> 21) : (p >> 21) + (p & 511) + least - 1] for j, p in zip(at.to_pylist(), fields["place"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([fields["anchor"], fields["part"], fields["parts"], fields["leaf"], fields["n"], fields["place"], b.column(0).take(at), b.column(1).take(at), pa.array(cut, pa.binary())], ["anchor", "part", "parts", "leaf", "n", "place", "k", "th", "bytes"])
 
     kind = dict(docs.dtypes)["k"]
@@ -305,7 +318,7 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, kgram: int = KGRAM, leav
     found = read.where("anchor is not null")
     counted = found.groupBy("anchor").agg(F.sum("n").alias("times"), F.min("leaf").alias("a"), F.max("leaf").alias("b")).where("times > 1").select("anchor", (F.col("a") != F.col("b")).alias("several"))
     again = stash(found.join(counted, "anchor"), "anchors")
-    whole = F.shiftleft(F.shiftright("place", 21), 21) + (F.col("place").bitwiseAND(F.lit((1 << 21) - 1)) + least - 1)
+    whole = F.shiftleft(F.shiftright("place", 21), 21) + (F.col("place").bitwiseAND(F.lit(511)) + least - 1)
     single = again.where("not several").select("k", "th", whole.alias("span"))
 
     several = again.where("several")
@@ -316,8 +329,10 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, kgram: int = KGRAM, leav
     copies = several.join(forms.where("n > 1").select("anchor", "leaf"), ["anchor", "leaf"]).select("k", "th", whole.alias("span"))
     told = stash(search(_fetched(asked, docs, least), least), "repeats")
     parts = told.where("digest is not null")
-    across = parts.groupBy("anchor", "digest").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "digest")
-    met = parts.where("n = 1").join(across, ["anchor", "digest"]).select("k", "th", "span")
+    runs = parts.groupBy("anchor", "digest").agg(F.count("*").alias("times")).where("times > 1").select("anchor", "digest")
+    opened = parts.join(runs, ["anchor", "digest"]).select("k", "th", "anchor", F.explode("windows").alias("w")).select("k", "th", "anchor", "w.*")
+    across = opened.groupBy("anchor", "digest").agg(F.sum("n").alias("times")).where("times > 1").select("anchor", "digest")
+    met = opened.where("n = 1").join(across, ["anchor", "digest"]).select("k", "th", "span")
     known = read.where("anchor is null").select("k", "th", F.col("place").alias("span"))
     return known.unionByName(single).unionByName(copies).unionByName(told.where("digest is null").select("k", "th", "span")).unionByName(met)
 
@@ -326,6 +341,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     """(key, n_bytes, n_removed, n_spans, kept) for each row of docs; kept (binary) is what remains of its UTF-8 bytes."""
     if not 0 < kgram <= least or kgram & (kgram - 1):
         raise ValueError("kgram must be a power of two, at most least")
+    if least - kgram >= 511:
+        raise ValueError("a window may have at most 511 places for its anchor")
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text")).withColumn("th", F.pmod(F.xxhash64("text"), F.lit(2147483647)).cast("int"))
     rows = rows.select("k", "th", "text")
     spans = repeated_spans(rows, least, kgram, leaves).groupBy("k", "th").agg(F.collect_list("span").alias("spans"))
