@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stash, text_or_empty
+from gleaner.llm.common import small_batches, stash, text_or_empty
 
 STEP, OVERLAP = 1 << 16, 1 << 11
 ROWS_OUT = 256
@@ -44,7 +44,7 @@ def ragged(parts: list, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat).cast(kind))
 
 
-def small_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, ROWS_OUT):
             yield b.slice(i, ROWS_OUT)
@@ -55,7 +55,7 @@ def encode_texts(df: DataFrame, keys: list[str], rank_file: str, pattern: str) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(rank_file, pattern)
-        for b in small_batches(batches):
+        for b in sliced(batches):
             ids = [encoder.encode_ordinary(t) for t in b.column(len(keys)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], ragged(ids, pa.int32())], [*keys, "ids"])
 
@@ -70,7 +70,7 @@ def boundaries(chunks: DataFrame, pattern: str, step: int, overlap: int) -> Data
         import regex
 
         found = regex.compile(pattern)
-        for b in small_batches(batches):
+        for b in sliced(batches):
             heads, tails = [], []
             for n, piece in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 starts = [m.start() for m in found.finditer(piece)]
@@ -87,6 +87,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", t
 
     Texts of up to `step` characters are one chunk and never leave their task.  Only longer ones are shuffled.
     """
+    small_batches(docs.sparkSession)
     if not 0 < overlap < step:
         raise ValueError("overlap must be between 0 and step")
     rows = docs.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
@@ -127,7 +128,7 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(rank_file, pattern)
-        for b in small_batches(batches):
+        for b in sliced(batches):
             raw = [None if v is None else encoder.decode_bytes(v) for v in b.column(rest.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary())], [*rest, "decoded"])
 

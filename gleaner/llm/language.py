@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import small_batches
+
 DEPTH, PER_LANGUAGE, MOST_LANGUAGES = 400, 2000, 256
 BATCH = 512
 
@@ -81,6 +83,7 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """(key, lang_pred, score): score is 1 - distance / largest possible distance."""
+    small_batches(docs.sparkSession)
     names = sorted(profiles)
     known = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.array(profiles[n], np.int64) for n in names]]))
     places = np.full((len(known) + 1, len(names)), depth, np.int64)  # the last row: an n-gram in no profile

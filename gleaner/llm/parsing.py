@@ -31,7 +31,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import text_or_empty
+from gleaner.llm.common import small_batches, text_or_empty
 
 #: Slots of each band; the last holds all higher levels.  A band counts in likeness from so many filled slots.
 BANDS, ENOUGH, LEVELS = (16, 32, 64), 10, 6
@@ -183,6 +183,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     buckets.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text")).withColumn("x", F.coalesce(F.col("k").cast("double"), F.lit(float("-inf"))))
     n = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = rows.where("k is not null").agg(F.percentile_approx("x", [i / n for i in range(1, n)], 50 * n)).first()[0] or []

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import small_batches
+
 WORD_TERMS, SHAPE_TERMS = 768, 256
 TERMS = WORD_TERMS + SHAPE_TERMS
 #: Shares of tokens that repeat the one before, each a term of its own that counts as so many words.
@@ -118,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Keys are sampled before texts are read, so what is joined to the documents is bounded and no text is shuffled.
     """
+    small_batches(docs.sparkSession)
     named = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and key is not null").distinct()
     sizes = {r["label"]: r["n"] for r in named.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.create_map(*[x for y in (0, 1) for x in (F.lit(y), F.lit(min(1.0, most_labelled / 2 / max(1, sizes.get(y, 0)))))])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stash, text_or_empty
+from gleaner.llm.common import small_batches, stash, text_or_empty
 
 LEAST, KGRAM = 200, 32
 LEAVES, RUN = 256, 16
@@ -343,6 +343,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
         raise ValueError("kgram must be a power of two, at most least")
     if least - kgram >= 511:
         raise ValueError("a window may have at most 511 places for its anchor")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), text_or_empty(text).alias("text")).withColumn("th", F.pmod(F.xxhash64("text"), F.lit(2147483647)).cast("int"))
     rows = rows.select("k", "th", "text")
     spans = repeated_spans(rows, least, kgram, leaves).groupBy("k", "th").agg(F.collect_list("span").alias("spans"))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stash
+from gleaner.llm.common import small_batches, stash
 from gleaner.llm.components import components
 
 RADIUS = 3
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "fp": np.array([fingerprint(t, width) for t in b["text"]], np.uint64).view(np.int64)})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
     kind = dict(docs.dtypes)[key]
     return rows.mapInPandas(run, "key string, fp long").select(F.col("key").cast(kind).alias("key"), "fp")
