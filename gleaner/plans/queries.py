@@ -7,6 +7,8 @@ Dictionaries and patterns are arguments of the operators; those here fit the tab
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -17,6 +19,7 @@ from gleaner.functions import extract, rules, text
 from gleaner.operators import activity, dedup, ml, notify, orders, posts, semantic
 from gleaner.settings import DEFAULT, Settings
 from gleaner.sources import merge
+from gleaner.streaming import posts as streams
 
 AS_OF = "2024-01-31 00:00:00"
 POSITIVE = [text.Rule("of the", "en", 5, "need"), text.Rule("and the", "en", 4, "need"), text.Rule("with", "en", 3, "need")]
@@ -241,6 +244,17 @@ def quiet_hours(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", notify.in_quiet_hours(*args).alias("quiet"), F.date_format(notify.next_quiet_end(*args), "yyyy-MM-dd HH:mm:ss").alias("until"))
 
 
+def streaming_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Each event twice through a stream that drops repeats, into a shared table; run to its end, then read."""
+    every = _table(spark, d, "events")
+    source = spark.readStream.schema(every.schema).parquet(f"{d}/events.parquet*")
+    twice = source.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).drop("n")
+    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    kept = streams.drop_repeats(twice, ["event_id"], "ts", "1 day")
+    kept.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, ts timestamp, event_type string").parquet(f"{root}/out").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
 def retention_months(spark: SparkSession, d: str) -> DataFrame:
     feed = _feed(spark, d).select("published_at")
     return merge.expired_months(feed, F.lit("1996-01-15 00:00:00").cast("timestamp")).withColumn("published_month", F.col("published_month").cast("string"))
@@ -433,6 +447,7 @@ ORACLES = {
     "rate_limited_deliveries": "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w >= 2 AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 43200 PRECEDING AND 1 PRECEDING)",
     "similar_cooldown": "SELECT event_id AS order_id, user_id FROM events a WHERE event_type <> 'purchase' AND EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND a.user_id = b.user_id AND a.event_id % 20 = b.event_id % 20 AND a.event_id <> b.event_id AND b.ts >= TIMESTAMP '2024-01-10')",
     "quiet_hours": None,
+    "streaming_dedup": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "retention_months": f"WITH {_FEED} SELECT date_trunc('month', published_at)::DATE::VARCHAR AS published_month, count(*) AS rows, date_trunc('month', published_at)::DATE < DATE '1995-10-01' AS expired FROM feed GROUP BY 1, 3",
     "merge_messages": f"""WITH a AS (SELECT doc_id, text, doc_id % 3 <> 0 AS old, doc_id % 3 <> 1 AS new, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || '!' ELSE text END AS t2, doc_id % 11 = 0 AS del FROM documents),
       b AS (SELECT *, CASE WHEN NOT old THEN 'inserted' WHEN NOT new THEN 'kept' WHEN t2 IS DISTINCT FROM text OR del THEN 'updated' ELSE 'unchanged' END AS action FROM a)
@@ -454,7 +469,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         "prefilter_by_source", "language_mix", "keyword_hits", "fuzzy_hits", "regex_rule_hits", "contact_entities", "budget_entities", "entity_types", "rules_labels", "orders_built", "exact_duplicates", "fingerprint_groups",
         "shard_assignment", "masked_texts", "hash_embeddings", "source_links", "order_feed_page", "order_filters", "order_export", "stats_summary", "status_transitions", "stale_archive", "canonical_orders", "subscription_matches",
-        "source_activity", "runtime_gauges", "latency_histogram", "rate_limited_deliveries", "similar_cooldown", "quiet_hours", "retention_months", "merge_messages", "soft_deletes", "high_water", "incremental_scan", "constraint_violations",
+        "source_activity", "runtime_gauges", "latency_histogram", "rate_limited_deliveries", "similar_cooldown", "quiet_hours", "streaming_dedup", "retention_months", "merge_messages", "soft_deletes", "high_water", "incremental_scan", "constraint_violations",
         "vector_topk", "semantic_pairs", "holdout_split", "confusion_matrix", "evaluation",
     ]
     return {n: globals()[n] for n in names}

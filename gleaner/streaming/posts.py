@@ -35,7 +35,7 @@ def rate_limit(sent: DataFrame, minutes: int, most: int) -> DataFrame:
         passed = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         allowed = []
-        for t in rows["ts"].astype("int64") // 1000 if str(rows["ts"].dtype).endswith("[ns]") or "ns" in str(rows["ts"].dtype) else rows["ts"].astype("int64"):
+        for t in rows["ts"].astype("datetime64[us]").astype("int64"):
             passed = [p for p in passed if p >= t - minutes * 60_000_000]
             allowed.append(len(passed) < most)
             if allowed[-1]:
