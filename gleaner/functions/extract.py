@@ -42,11 +42,14 @@ VALUE = (
     "currency:string,negotiable:boolean,deadline:date,mode:string,deadline_text:string,urgent:boolean,kind:string,value:string>"
 )
 ENTITY = f"struct<type:string,value_text:string,value_norm:{VALUE},confidence:decimal(5,4)>"
-_FIELDS = [f.split(":") for f in VALUE[len("struct<") : -1].split(",")]
+_KINDS = dict(f.split(":") for f in VALUE[len("struct<") : -1].split(","))
+_NOTHING = f"named_struct({', '.join(f"'{n}', cast(null as {t})" for n, t in _KINDS.items())})"
 
 
 def entity(type_: str, text: Column, confidence: Column | float, **values: Column) -> Column:
-    norm = F.struct(*[(values[n] if n in values else F.lit(None)).cast(t).alias(n) for n, t in _FIELDS])
+    norm = F.expr(_NOTHING)
+    for n, v in values.items():
+        norm = norm.withField(n, v.cast(_KINDS[n]))
     confidence = confidence if isinstance(confidence, Column) else F.lit(confidence)
     return F.struct(F.lit(type_).alias("type"), text.alias("value_text"), norm.alias("value_norm"), confidence.cast("decimal(5,4)").alias("confidence"))
 
@@ -66,7 +69,7 @@ def project_type(text: Column, rules: list | None = None) -> Column:
 
 def amount(raw: Column, suffix: Column) -> Column:
     """Digits only, times 1000 for a thousands suffix; null if it does not fit a long."""
-    return F.regexp_replace(raw, r"(?U)\D", "").try_cast("long") * F.when(F.lower(suffix).isin("тыс", "k", "к"), 1000).otherwise(1)
+    return F.try_multiply(F.regexp_replace(raw, r"(?U)\D", "").try_cast("long"), F.when(F.lower(suffix).isin("тыс", "k", "к"), 1000).otherwise(1))
 
 
 def currency(raw: Column) -> Column:
@@ -82,12 +85,14 @@ def budget(text: Column, strict: bool = False) -> Column:
     """
     group = lambda p, i: F.regexp_extract(text, p, i)
     told = lambda p, *groups: (F.concat(*[group(p, g) for g in groups]) != "") if strict else F.lit(True)
+    digits = text.rlike(r"\p{Nd}")  # cheap; without one the amounts' patterns need not run
     money = F.filter(F.regexp_extract_all(text, F.lit(MONEY), F.lit(0)), lambda m: (F.regexp_extract(m, MONEY, 2) != "") | currency(F.regexp_extract(m, MONEY, 3)).isNotNull())
     first = F.get(money, F.lit(0))
     once = amount(F.regexp_extract(first, MONEY, 1), F.regexp_extract(first, MONEY, 2))
     no = F.lit(False)
     return (
         F.when(text.rlike(NEGOTIABLE), F.array(entity("budget", group(NEGOTIABLE, 0), 0.9, negotiable=F.lit(True))))
+        .when(~digits, none())
         .when(text.rlike(RANGE) & told(RANGE, 2, 4, 5), F.array(entity("budget", group(RANGE, 0), 0.95, amount_from=amount(group(RANGE, 1), group(RANGE, 2)), amount_to=amount(group(RANGE, 3), group(RANGE, 4)), currency=currency(group(RANGE, 5)), negotiable=no)))
         .when(text.rlike(UP_TO) & told(UP_TO, 2, 3), F.array(entity("budget", group(UP_TO, 0), 0.9, amount_to=amount(group(UP_TO, 1), group(UP_TO, 2)), currency=currency(group(UP_TO, 3)), negotiable=no)))
         .when(first.isNotNull(), F.array(entity("budget", first, 0.9, amount_from=once, amount_to=once, currency=currency(F.regexp_extract(first, MONEY, 3)), negotiable=no)))
@@ -109,9 +114,10 @@ def deadline(text: Column, as_of: Column) -> Column:
     for stem, n in sorted(MONTHS.items(), key=lambda x: len(x[0])):
         month = F.when(name.startswith(stem), n).otherwise(month)
     by_month = F.try_to_date(F.concat_ws("-", (F.year(today) + F.when(month >= F.month(today), 0).otherwise(1)).cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lit("01")), "yyyy-MM-dd")
+    digits = text.rlike(r"\p{Nd}")
     return (
-        F.when(text.rlike(RELATIVE), F.array(entity("deadline", group(RELATIVE, 0), 0.9, deadline=F.date_add(today, days), mode=F.lit("relative"))))
-        .when(text.rlike(BY_DATE), F.array(entity("deadline", group(BY_DATE, 0), 0.9, deadline=dated, mode=F.lit("date"))))
+        F.when(digits & text.rlike(RELATIVE), F.array(entity("deadline", group(RELATIVE, 0), 0.9, deadline=F.date_add(today, days), mode=F.lit("relative"))))
+        .when(digits & text.rlike(BY_DATE), F.array(entity("deadline", group(BY_DATE, 0), 0.9, deadline=dated, mode=F.lit("date"))))
         .when(text.rlike(BY_MONTH), F.array(entity("deadline", group(BY_MONTH, 0), 0.9, deadline=by_month, mode=F.lit("month"))))
         .when(text.rlike(URGENT), F.array(entity("deadline", group(URGENT, 0), 0.8, deadline_text=group(URGENT, 0), urgent=F.lit(True))))
         .otherwise(none())
@@ -120,14 +126,16 @@ def deadline(text: Column, as_of: Column) -> Column:
 
 def contacts(text: Column) -> Column:
     """Handles, links to chats, e-mails, phones, other urls; each (kind, value) once, by its first text; else an implicit contact by hint words."""
-    every = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    nothing = F.array().cast("array<string>")
+    every = lambda p, sign: F.when(sign, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(nothing)
+    at, digits = text.contains("@"), text.rlike(r"\p{Nd}")  # cheap signs without which a pattern need not run
     one = lambda kind, m, value: entity("contact", m, 0.95, kind=F.lit(kind), value=value)
     found = F.concat(
-        F.transform(every(HANDLE), lambda m: one("telegram_username", m, F.lower(m))),
-        F.transform(every(LINK), lambda m: one("telegram_username", m, F.concat(F.lit("@"), F.lower(F.regexp_extract(m, r"t\.me/(.*)$", 1))))),
-        F.transform(every(EMAIL), lambda m: one("email", m, F.lower(m))),
-        F.transform(every(PHONE), lambda m: one("phone", m, F.regexp_replace(m, r"(?U)[^\d+]", ""))),
-        F.transform(F.filter(every(URL), lambda m: ~F.lower(m).contains("t.me/")), lambda m: one("url", m, m)),
+        F.transform(every(HANDLE, at), lambda m: one("telegram_username", m, F.lower(m))),
+        F.transform(every(LINK, text.contains("t.me/")), lambda m: one("telegram_username", m, F.concat(F.lit("@"), F.lower(F.regexp_extract(m, r"t\.me/(.*)$", 1))))),
+        F.transform(every(EMAIL, at), lambda m: one("email", m, F.lower(m))),
+        F.transform(every(PHONE, digits), lambda m: one("phone", m, F.regexp_replace(m, r"(?U)[^\d+]", ""))),
+        F.transform(F.filter(every(URL, text.contains("://")), lambda m: ~F.lower(m).contains("t.me/")), lambda m: one("url", m, m)),
     )
     same = lambda a, b: (a["value_norm"]["kind"] == b["value_norm"]["kind"]) & (a["value_norm"]["value"] == b["value_norm"]["value"])
     once = F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: same(x, y)))

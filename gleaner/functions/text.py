@@ -115,7 +115,7 @@ HIT = "struct<position:int,phrase:string,matched_text:string,weight:int,category
 def match_keywords(text: Column, rules: list[Rule], fuzzy: bool = True) -> Column:
     """Array of hits in rule order: every match of a regex rule; of a phrase its first match, or else the first word within one edit.
 
-    Fuzzy matches are of single words; both words have six characters or more.
+    text is normalised, so in lower case.  Fuzzy matches are of single words; both words have six characters or more.
     """
     check_rules(rules)
     words = F.regexp_extract_all(text, F.lit(r"(?iU)[\wа-яёіїєґ-]+"), F.lit(0))
@@ -137,7 +137,10 @@ def match_keywords(text: Column, rules: list[Rule], fuzzy: bool = True) -> Colum
             near = F.filter(words, _within_one(phrase))
             exact = F.levenshtein(F.lit(phrase), F.get(near, F.lit(0)), 1) == 0
             miss = F.when(F.size(near) > 0, F.when(exact, F.array(hit(near[0]).cast(HIT))).otherwise(F.array(hit(near[0], True, 1).cast(HIT)))).otherwise(none)
-        hits.append(F.when(text.rlike(pattern), F.array(hit(F.regexp_extract(text, pattern, 0)).cast(HIT))).otherwise(miss))
+        there = text.rlike(pattern)
+        for word in phrase.split():
+            there = text.contains(word) & there  # cheap, and most texts lack one of the words
+        hits.append(F.when(there, F.array(hit(F.regexp_extract(text, pattern, 0)).cast(HIT))).otherwise(miss))
     return F.concat(*hits) if hits else F.array().cast(f"array<{HIT}>")
 
 
