@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -31,9 +32,14 @@ def hash_embedding(tokens: Column, dimension: int) -> Column:
     sign = lambda t: F.when(F.conv(F.substring(F.sha2(t.cast("binary"), 256), 10, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
     placed = F.transform(tokens, lambda t: F.struct(slot(t).alias("slot"), sign(t).alias("sign")))
     total = lambda all_, i: F.aggregate(F.filter(all_, lambda p: p["slot"] == i), F.lit(0.0), lambda s, p: s + p["sign"])
+    # slots are summed by ranges, so that a long text is not read once for each slot
+    step = math.isqrt(dimension - 1) + 1
+    ranges = F.sequence(F.lit(0), F.lit(dimension - 1), F.lit(step))
+    part = lambda all_, g: F.array(F.filter(all_, lambda p: (p["slot"] >= g) & (p["slot"] < g + step)))
+    sums = lambda all_, g: F.transform(part(all_, g), lambda few: F.transform(F.sequence(g, F.least(g + step, F.lit(dimension)) - 1), lambda i: total(few, i)))[0]
     # one-element arrays bind what stands before, so that it is computed once
-    raw = F.transform(F.array(placed), lambda all_: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: total(all_, i)))
-    return F.transform(raw, lambda v: F.transform(v, lambda x: F.coalesce(x / F.nullif(F.sqrt(dot(v, v)), F.lit(0.0)), x)))[0]
+    raw = F.transform(F.array(placed), lambda all_: F.flatten(F.transform(ranges, lambda g: sums(all_, g))))
+    return F.transform(raw, lambda v: F.transform(F.array(F.nullif(F.sqrt(dot(v, v)), F.lit(0.0))), lambda norm: F.transform(v, lambda x: F.coalesce(x / norm, x)))[0])[0]
 
 
 def order_embedding_text(compose: bool = True) -> Column:
@@ -48,7 +54,7 @@ def embed_orders(orders: DataFrame, embed: Callable[[pd.Series], pd.Series] | No
     else:
         made = F.pandas_udf(embed, "array<float>")(order_embedding_text())
     made = made.cast("array<float>")
-    return orders.withColumn("embedding", F.coalesce("embedding", F.when(F.size(made) == dimension, made)))
+    return orders.withColumn("embedding", F.coalesce("embedding", F.get(F.filter(F.array(made), lambda v: F.size(v) == dimension), F.lit(0))))
 
 
 def parse_vector(value: Column) -> Column:

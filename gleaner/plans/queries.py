@@ -133,9 +133,10 @@ def masked_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    """Hashed embeddings of titles (the first 80 characters), of 16 dimensions."""
-    title = text.build_title(F.col("text"))
-    return _posts(spark, d).select("message_id", F.transform(semantic.hash_embedding(text.semantic_tokens(title, {}), 16), lambda x: F.round(x, 6)).alias("v")).select("message_id", F.array_join(F.transform("v", lambda x: F.format_string("%.4f", x)), ",").alias("vector"))
+    """Hashed embeddings of whole texts, with the operator's own dimension and aliases."""
+    none = F.lit(None).cast("string")
+    whole = _posts(spark, d).select("message_id", none.alias("project_type"), none.alias("title"), F.col("text").alias("summary"), none.alias("deadline_text"), F.lit(None).cast("array<float>").alias("embedding"))
+    return semantic.embed_orders(whole).select("message_id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.4f", F.round(x.cast("double"), 6))), ",").alias("vector"))
 
 
 def source_links(spark: SparkSession, d: str) -> DataFrame:
