@@ -186,7 +186,7 @@ def canonical_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subscription_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Orders against a subscription for each customer: types by segment, budgets by balance."""
+    """Orders against a subscription for each tenth customer, as its SQL has it; subscription_matches_all takes every customer."""
     users = _table(spark, d, "customer").where("c_custkey % 10 = 0")
     empty = F.array().cast("array<string>")
     subs = users.select(
@@ -199,6 +199,19 @@ def subscription_matches(spark: SparkSession, d: str) -> DataFrame:
     return met.select("order_id", F.col("subscription.user_id").alias("user_id"), F.col("subscription.subscription_id").alias("subscription_id"))
 
 
+def subscription_matches_all(spark: SparkSession, d: str) -> DataFrame:
+    """Orders against a subscription for each customer: types by segment, budgets by balance.  No SQL: tests/test_whole_jobs.py has brute force."""
+    empty, segment = F.array().cast("array<string>"), F.col("c_mktsegment")
+    subs = _table(spark, d, "customer").select(
+        F.col("c_custkey").alias("subscription_id"), (F.col("c_custkey") % 50).alias("user_id"), F.lit(AS_OF).cast("timestamp").alias("created_at"), F.lit(True).alias("enabled"), (F.col("c_custkey") % 100).cast("int").alias("min_relevance_score"),
+        F.when(segment == "BUILDING", F.array(F.lit("1-URGENT"))).when(segment == "MACHINERY", F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))).otherwise(empty).alias("project_types"),
+        (F.greatest(F.col("c_acctbal"), F.lit(0.0)) * 30).cast("decimal(14,2)").alias("budget_min"), F.lit(None).cast("decimal(14,2)").alias("budget_max"),
+        F.array(F.lit("usd")).alias("currencies"), F.lit(None).cast("array<bigint>").alias("source_ids"), empty.alias("positive_keywords"), F.array(F.lit("for 7")).alias("negative_keywords"), F.lit(None).cast("int").alias("freshness_days"),
+    )
+    met = notify.match_subscriptions(_feed(spark, d).withColumn("normalized_text", F.lit("")), subs, _as_of(), compose=False)
+    return met.select("order_id", F.col("subscription.user_id").alias("user_id"), F.col("subscription.subscription_id").alias("subscription_id"))
+
+
 # ---- events ----
 
 
@@ -469,7 +482,7 @@ ORACLES = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         "prefilter_by_source", "language_mix", "keyword_hits", "fuzzy_hits", "regex_rule_hits", "contact_entities", "budget_entities", "entity_types", "rules_labels", "orders_built", "exact_duplicates", "fingerprint_groups",
-        "shard_assignment", "masked_texts", "hash_embeddings", "source_links", "order_feed_page", "order_filters", "order_export", "stats_summary", "status_transitions", "stale_archive", "canonical_orders", "subscription_matches",
+        "shard_assignment", "masked_texts", "hash_embeddings", "source_links", "order_feed_page", "order_filters", "order_export", "stats_summary", "status_transitions", "stale_archive", "canonical_orders", "subscription_matches", "subscription_matches_all",
         "source_activity", "runtime_gauges", "latency_histogram", "rate_limited_deliveries", "similar_cooldown", "quiet_hours", "streaming_dedup", "retention_months", "merge_messages", "soft_deletes", "high_water", "incremental_scan", "constraint_violations",
         "vector_topk", "semantic_pairs", "holdout_split", "confusion_matrix", "evaluation",
     ]

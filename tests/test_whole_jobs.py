@@ -25,3 +25,21 @@ def test_hash_embeddings_read_whole_texts(spark, tmp_path):
     for i, t in enumerate(texts):
         want = embedded(t.split())
         assert len(got[i]) == 384 and all(abs(a - b) <= 1e-4 for a, b in zip(got[i], want, strict=True))
+
+
+def test_subscription_matches_all_asks_every_customer(spark, tmp_path):
+    segments = ["BUILDING", "MACHINERY", "HOUSEHOLD", None]
+    customers = [(k, k % 25, float(k * 37 % 9000 - 900), segments[k % 4]) for k in range(120)]
+    kinds = ["1-URGENT", "2-HIGH", "5-LOW"]
+    orders = [(k, k % 90, "OFP"[k % 3], k * 911.5 % 190000, f"1996-01-{k % 28 + 1:02d}", kinds[k % 3]) for k in range(200)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey long, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {}
+    for o, source, _, price, _, kind in orders:
+        for c, _, balance, segment in customers:
+            types = {"BUILDING": ["1-URGENT"], "MACHINERY": ["1-URGENT", "2-HIGH"]}.get(segment)
+            fits = o % 101 >= c % 100 and (types is None or kind in types) and round(price * 1.5, 4) >= round(max(balance, 0) * 30, 2)
+            if fits and "for 7" not in f"order {o} {kind.lower()} for {source}":
+                want.setdefault((o, c % 50), c)
+    got = [((r.order_id, r.user_id), r.subscription_id) for r in queries.queries()["subscription_matches_all"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want.items()) and any(c % 10 for c in want.values())
