@@ -300,10 +300,18 @@ def high_water(spark: SparkSession, d: str) -> DataFrame:
     return merge.advance_high_water(sources, every.where("tg_message_id % 2 = 0 and source_id <> 'src1'"), _as_of()).select("source_id", "last_seen_message_id", F.col("last_checked_at").isNotNull().alias("checked"))
 
 
-def incremental_scan(spark: SparkSession, d: str) -> DataFrame:
+def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     raw = _posts(spark, d).select("source_id", F.col("message_id").alias("id"), F.col("published_at").alias("date"))
-    sources = raw.select("source_id").distinct().withColumn("last_seen_message_id", F.when(F.col("source_id") == "src0", 100).otherwise(0).cast("long"))
-    return merge.incremental_scan(raw, sources, _as_of(), cap=20)
+    return raw, raw.select("source_id").distinct().withColumn("last_seen_message_id", F.when(F.col("source_id") == "src0", 100).otherwise(0).cast("long"))
+
+
+def incremental_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The oldest 20 new posts of each source, as its SQL has it; incremental_scan_all takes every new post."""
+    return merge.incremental_scan(*_scanned(spark, d), _as_of(), cap=20)
+
+
+def incremental_scan_all(spark: SparkSession, d: str) -> DataFrame:
+    return merge.incremental_scan(*_scanned(spark, d), _as_of())
 
 
 def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -483,7 +491,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = [
         "prefilter_by_source", "language_mix", "keyword_hits", "fuzzy_hits", "regex_rule_hits", "contact_entities", "budget_entities", "entity_types", "rules_labels", "orders_built", "exact_duplicates", "fingerprint_groups",
         "shard_assignment", "masked_texts", "hash_embeddings", "source_links", "order_feed_page", "order_filters", "order_export", "stats_summary", "status_transitions", "stale_archive", "canonical_orders", "subscription_matches", "subscription_matches_all",
-        "source_activity", "runtime_gauges", "latency_histogram", "rate_limited_deliveries", "similar_cooldown", "quiet_hours", "streaming_dedup", "retention_months", "merge_messages", "soft_deletes", "high_water", "incremental_scan", "constraint_violations",
+        "source_activity", "runtime_gauges", "latency_histogram", "rate_limited_deliveries", "similar_cooldown", "quiet_hours", "streaming_dedup", "retention_months", "merge_messages", "soft_deletes", "high_water", "incremental_scan", "incremental_scan_all", "constraint_violations",
         "vector_topk", "semantic_pairs", "holdout_split", "confusion_matrix", "evaluation",
     ]
     return {n: globals()[n] for n in names}

@@ -27,6 +27,15 @@ def test_hash_embeddings_read_whole_texts(spark, tmp_path):
         assert len(got[i]) == 384 and all(abs(a - b) <= 1e-4 for a, b in zip(got[i], want, strict=True))
 
 
+def test_incremental_scan_all_keeps_a_hot_source_whole(spark, tmp_path):
+    rows = [(i, "t", "hot" if i % 3 else f"src{i % 4}") for i in range(720)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.source_id, r.id) for r in queries.queries()["incremental_scan_all"](spark, str(tmp_path)).collect()]
+    first_hour = 720 - 24 * 8  # as_of is 720 hours after the first post; a first load takes 7 + 1 days
+    want = [(s, i) for i, _, s in rows if (i > 100 if s == "src0" else i > 0 and i >= first_hour)]
+    assert sorted(got) == sorted(want) and sum(s == "hot" for s, _ in got) > 20
+
+
 def test_subscription_matches_all_asks_every_customer(spark, tmp_path):
     segments = ["BUILDING", "MACHINERY", "HOUSEHOLD", None]
     customers = [(k, k % 25, float(k * 37 % 9000 - 900), segments[k % 4]) for k in range(120)]
