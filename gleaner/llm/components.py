@@ -1,7 +1,8 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
-Each step is a few joins and partial aggregations; a hub's edges are never gathered in one task (minima are
-pre-aggregated, and the join that spreads them can be split by adaptive execution).
+Each step is a few joins and partial aggregations.  A hub's edges are never gathered in one task: minima are
+pre-aggregated, and the nodes that hold over a thousandth of the edges (so 2000 at most) hand out their minimum by
+broadcast, while all others are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -12,22 +13,28 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import stash
 
 MAX_ROUNDS = 60
+#: A node is a hub if it holds more than one edge in so many, and at least FEW_EDGES.
+SHARE, FEW_EDGES = 1000, 100
 
 
-def _minima(pairs: DataFrame) -> DataFrame:
-    """The least of each node's neighbours and itself."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _with_minima(pairs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs with m, minima): m is the least of u's neighbours and u itself."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))  # 2 x SHARE rows at most
+    by_hub = pairs.join(hubs, "u")
+    rest = pairs.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
+    return rest.unionByName(by_hub), least.select("u", "m")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_minima(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_minima(both, limit)[0].where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _minima(down)
-    return down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    met, least = _with_minima(down, limit)
+    return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,14 +42,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges are allowed.  Rounds grow with the logarithm of the largest component.
     """
+    sign = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     now = stash(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    before = None
+    before = sign(now)
     for _ in range(MAX_ROUNDS):
-        now = stash(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
-        sign = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if sign == before:
+        limit = max(FEW_EDGES, before[0] // SHARE)
+        # the large star hands the small star fewer edges than it got, so one limit bounds the hubs of both
+        now = stash(_small_star(_large_star(now, limit), limit).where("u <> v").distinct(), "edges")
+        after = sign(now)
+        if after == before:
             break
-        before = sign
+        before = after
     else:
         raise RuntimeError("components did not settle")
     return now.select("u", F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())

@@ -1,19 +1,19 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two 64-bit fingerprints at distance 3 or less meet at a variant that is at most 1 bit from one of them and at
-most 2 bits from the other.  So every fingerprint emits variants within half the radius, the variants are
-shuffled, and members of a variant's group are linked.  Three things keep this small:
+most 2 bits from the other.  So every distinct fingerprint emits all variants within half the radius, the
+variants are shuffled, and fingerprints that meet at one are linked.  Two facts halve the larger ball twice:
+of 3 differing bits two are in one 32-bit half (992 masks instead of 2016), and one of the two fingerprints
+has an even number of ones (only even ones emit two-bit variants).  No fewer two-bit masks would do.
 
-* only distinct fingerprints go on, each with its smallest document;
-* a pair within 3 bits has one 32-bit half within 1 bit, so fingerprints that share no half (a ball of radius
-  1 meets a centre; one of the two has an even half, and only even halves emit their ball) have no partner;
-* of 3 differing bits two are in one half, and one of the two fingerprints has an even number of ones: only
-  even fingerprints emit two-bit variants, and only with both bits in one half (992).
+That is 561 variants a fingerprint on average, so they travel packed: a row holds the variants of a batch that
+fall in one bucket, 10 bytes each (the variant and the number of its mask, from which the fingerprint follows).
+Buckets are ranges of a hash of the variant, as many as keep each at about BUCKET variants, whatever the table's
+size; a bucket is sorted by variant, so equal variants stand together.
 
-All members of a group lie within 1 or 2 bits of its variant, so a group has at most 2081 members.  Each pair
-(inner member, other member) of a group is verified by its true distance.  A group gives a star, not all of
-its pairs: the least inner member links to every other member, which loses no component, as inner and outer
-members of a variant are within 1 + 2 bits by construction.
+All members of a group of equal variants lie within 1 or 2 bits of it, so a group has at most 2081 members.  A
+group gives a star, not all of its pairs: the least inner member links to every other member, which loses no
+component, as inner and outer members are within 1 + 2 bits.  Every link is verified by its true distance.
 
 Defined results: null and empty texts have fingerprint zero, linked like any other; repeated rows each give a
 row; documents with a null key count in groups but never name one (component null if no other member).
@@ -22,9 +22,12 @@ row; documents with a null key count in groups but never name one (component nul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +36,28 @@ from gleaner.llm.components import components
 
 RADIUS = 3
 HALVES = 32
-#: Up to so many fingerprints that share a half are tested against each other before they emit variants; larger groups all emit.
-TESTED = 64
+#: Variants in a bucket, about, and fingerprints whose variants are made at a time.
+BUCKET, FEW = 1 << 20, 4096
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def ball(bits: int, radius: int) -> list[int]:
+    """The masks of up to `radius` of so many bits, fewest bits first."""
+    return [sum(1 << b for b in chosen) for n in range(radius + 1) for chosen in combinations(range(bits), n)]
+
+
+#: What all fingerprints emit (one bit at most), then what even ones add (two bits of one half).
+_INNER = ball(64, 1)
+_OUTER = [one << side for side in (0, HALVES) for one in ball(HALVES, 2)[1 + HALVES :]]
+MASKS = np.array(_INNER + _OUTER, np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -47,11 +70,7 @@ def fingerprint(text: str | None, width: int) -> int:
     line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
     stops = (ends - 1)[min(width, len(words)) - 1 :].tolist()
     starts = [0, *ends[: len(stops) - 1].tolist()]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(stops))
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, len(stops)))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -67,59 +86,72 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     return rows.mapInPandas(run, "key string, fp long").select(F.col("key").cast(kind).alias("key"), "fp")
 
 
-def _low_half() -> Column:
-    return F.col("fp").bitwiseAND(F.lit((1 << HALVES) - 1))
-
-
-def sharing_halves(classes: DataFrame) -> DataFrame:
-    """Distinct fingerprints which may have a partner: all that have one share a half with it, up to one bit.
+def variants(fps: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, variants, masks): all variants of all fingerprints, packed for each batch and bucket; see the module."""
+    inner = len(_INNER)
 
-    Chance collisions, which grow faster than the corpus, are sorted out here where a half's group is small.
-    """
-    bits = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(HALVES)])
-    halves = classes.select("fp", F.explode(F.array(F.struct(F.lit(0).alias("side"), _low_half().alias("half")), F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", HALVES).alias("half")))).alias("h")).select("fp", "h.side", "h.half")
-    flips = F.when(F.bit_count("half") % 2 == 0, bits).otherwise(F.slice(bits, 1, 1))
-    # an odd half meets even ones only at itself: as a centre; two equal even halves meet there too
-    keyed = halves.withColumn("flip", F.explode(flips)).select("fp", "side", F.col("half").bitwiseXOR(F.col("flip")).alias("half"))
-    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= RADIUS
-    shared = keyed.groupBy("side", "half").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    pairs = shared.where((F.col("n") == 2) & near(F.col("a"), F.col("b"))).select(F.explode(F.array("a", "b")).alias("fp"))
-    grouped = keyed.join(shared.where("n > 2").select("side", "half", "n"), ["side", "half"])
-    small = grouped.where(F.col("n") <= TESTED).groupBy("side", "half").agg(F.collect_list("fp").alias("members"))
-    small = small.select(F.explode(F.filter("members", lambda x: F.exists("members", lambda y: (x != y) & near(x, y)))).alias("fp"))
-    return pairs.unionByName(small).unionByName(grouped.where(F.col("n") > TESTED).select("fp")).distinct()
-
-
-def variants(fps: DataFrame) -> DataFrame:
-    """(variant, fp, ring): fp lies `ring` (0, 1 or 2) bits from the variant; two only for even fingerprints and within a half."""
-    one = [1 << i for i in range(64)]
-    two = [one[a] | one[b] for side in (0, HALVES) for a in range(side, side + HALVES) for b in range(a + 1, side + HALVES)]
-    signed = lambda masks: "array(" + ",".join(f"{m - (1 << 64) if m >> 63 else m}L" if m != 1 << 63 else "cast(-9223372036854775808 as bigint)" for m in masks) + ")"
-    inner, outer = F.expr(signed([0, *one])), F.expr(signed(two))
-    near = fps.select("fp", F.explode(inner).alias("mask"), F.lit(1).alias("ring"))
-    far = fps.where(F.bit_count("fp") % 2 == 0).select("fp", F.explode(outer).alias("mask"), F.lit(2).alias("ring"))
-    return near.unionByName(far).select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "fp", "ring")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = b.column(0).to_numpy().view(np.uint64)
+            for i in range(0, len(every), FEW):
+                some = every[i : i + FEW]
+                even = some[np.bitwise_count(some) % 2 == 0]
+                made = np.concatenate([(some[:, None] ^ MASKS[None, :inner]).ravel(), (even[:, None] ^ MASKS[None, inner:]).ravel()])
+                mask = np.concatenate([np.tile(np.arange(inner, dtype=np.int16), len(some)), np.tile(np.arange(inner, len(MASKS), dtype=np.int16), len(even))])
+                to = (((made * _SPREAD) >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+                order = np.argsort(to, kind="stable")
+                made, mask, to = made[order], mask[order], to[order]
+                first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                stops = np.append(first[1:], len(to))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(to[first].astype(np.int64)),
+                        pa.array([made[a:e].tobytes() for a, e in zip(first, stops, strict=True)], pa.binary()),
+                        pa.array([mask[a:e].tobytes() for a, e in zip(first, stops, strict=True)], pa.binary()),
+                    ],
+                    ["bucket", "variants", "masks"],
+                )
+
+    return fps.select("fp").mapInArrow(run, "bucket long, variants binary, masks binary")
+
+
+def met(variants_: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Verified star links (u, v) between the fingerprints that share a variant."""
+    order = np.argsort(variants_)
+    at = variants_[order]
+    same = at[1:] == at[:-1]
+    shared = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+    if not len(shared):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order, at = order[shared], at[shared]
+    fp, inner = (at ^ MASKS[masks[order]]).view(np.int64), masks[order] < len(_INNER)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    sizes = np.diff(np.append(first, len(at)))
+    least = np.minimum.reduceat(np.where(inner, fp, np.iinfo(np.int64).max), first)
+    u = np.repeat(least, sizes)
+    fit = np.repeat(np.logical_or.reduceat(inner, first), sizes) & (u != fp) & (np.bitwise_count((u ^ fp).view(np.uint64)) <= RADIUS)
+    return u[fit], fp[fit]
+
+
+def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Verified star edges (u, v) between distinct fingerprints within 3 bits; their components are those of all such pairs."""
+    buckets = max(1, ceil(fps.count() * (len(_INNER) + len(_OUTER) / 2) / bucket))
 
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v = met(np.frombuffer(b"".join(pdf["variants"]), np.uint64), np.frombuffer(b"".join(pdf["masks"]), np.int16))
+        return pd.DataFrame({"u": u, "v": v}).drop_duplicates()
 
-def links(fps: DataFrame) -> DataFrame:
-    """Verified star edges (u, v) between distinct fingerprints within 3 bits; their components are those of all such pairs."""
-    groups = (
-        variants(fps).groupBy("variant").agg(F.min(F.when(F.col("ring") == 1, F.col("fp"))).alias("u"), F.collect_list("fp").alias("members"))
-        .where(F.col("u").isNotNull() & (F.size("members") > 1))
-    )
-    edges = groups.select("u", F.explode("members").alias("v")).where("u <> v").distinct()
-    return edges.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= RADIUS)
+    return variants(fps, buckets).groupBy("bucket").applyInPandas(meet, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """(key, fp, component): component is the smallest key among the documents reachable over links of 3 bits or less."""
     marked = stash(fingerprints(docs, key, text, width), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min("key").alias("least"))
-    candidates = stash(sharing_halves(classes.select("fp")), "candidates")
-    roots = components(links(candidates))
+    classes = stash(marked.groupBy("fp").agg(F.min("key").alias("least")), "classes")
+    roots = components(links(classes))
     named = classes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = stash(named.join(least, "root").select("fp", "component"), "classes")
+    classes = stash(named.join(least, "root").select("fp", "component"), "named")
     return marked.join(classes, "fp").select(F.col("key").alias(key), "fp", "component")
 
 

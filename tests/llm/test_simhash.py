@@ -32,7 +32,7 @@ def test_links_reach_the_components_of_all_pairs(spark):
                 fp ^= 1 << bit
     fps = sorted(fps) + [0, (1 << 64) - 1]
     frame = spark.createDataFrame([(i, int(np.uint64(x).astype(np.int64))) for i, x in enumerate(fps)], "i long, fp long")
-    linked = simhash.links(simhash.sharing_halves(frame.select("fp")))
+    linked = simhash.links(frame.select("fp"), bucket=5000)
     roots = components(linked)
     least = frame.join(roots, frame.fp == roots.u, "left").withColumn("root", F.coalesce("root", "fp"))
     named = least.join(least.groupBy("root").agg(F.min("i").alias("c")), "root").select("i", "c").collect()
