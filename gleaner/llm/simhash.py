@@ -38,6 +38,8 @@ RADIUS = 3
 HALVES = 32
 #: Variants in a bucket, about, and fingerprints whose variants are made at a time.
 BUCKET, FEW = 1 << 20, 4096
+#: Buckets that one task sorts, one after the other.
+TOGETHER = 8
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -141,7 +143,9 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         u, v = met(np.frombuffer(b"".join(pdf["variants"]), np.uint64), np.frombuffer(b"".join(pdf["masks"]), np.int16))
         return pd.DataFrame({"u": u, "v": v}).drop_duplicates()
 
-    return variants(fps, buckets).groupBy("bucket").applyInPandas(meet, "u long, v long").distinct()
+    # a task gets about TOGETHER buckets, whatever the session's number of shuffle partitions
+    dealt = variants(fps, buckets).repartition(ceil(buckets / TOGETHER), "bucket")
+    return dealt.groupBy("bucket").applyInPandas(meet, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
