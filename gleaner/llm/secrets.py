@@ -1,9 +1,9 @@
 """Secret scans judged by corpus-wide ownership, with DataFrame functions only.
 
 Candidates come from patterns: the base kinds assign, access and hex, and bare mixed tokens (long runs with
-lower-case and upper-case letters and digits).  Each candidate's value is hashed, and the hashes are
-aggregated over the corpus by distinct repositories (documents) and distinct owners (sources).  A value that
-many owners hold is a widely copied example; one that one or two owners hold, and that looks
+letters and digits).  Each candidate's value is hashed, and the hashes are aggregated over the corpus by distinct
+repositories (documents) and distinct owners (sources).  A value that many owners hold, or many repositories even
+of one owner, is a widely copied example; one that one or two owners hold in few repositories, and that looks
 random, is live-looking.  Base spans are always returned; a bare token is added as kind `owned` only if
 its value is live-looking and no base span covers it.
 
@@ -28,75 +28,85 @@ from gleaner.llm.common import stash, text_or_empty
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Bare tokens: runs of these characters, so long, that hold all three classes.
+#: Bare tokens: runs of these characters, so long, that hold letters and digits.
 TOKEN = r"[A-Za-z0-9+/_-]{24,}"
 BASE = ("assign", "access", "hex")
-#: A value with more owners is an example; one with at most so many, that looks random, is live-looking.
-EXAMPLE_OWNERS, LIVE_OWNERS = 4, 2
+KINDS = (*BASE, "owned")
+#: A value with more owners, or in more repositories (even of one owner), is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 4, 10
+#: A value with at most so many owners, that looks random, is live-looking.
+LIVE_OWNERS = 2
 #: A live-looking value has at least so many characters and so many different ones.
 LIVE_LENGTH, LIVE_VARIETY = 16, 8
+#: Spans gathered before they are put with the rest.
+FEW = 256
+_SPAN = "struct<start:int,place:int,end:int,kind:string,value:string>"
+_NO_SPANS = f"cast(array() as array<{_SPAN}>)"
 
 
 def _spans(text: str, kind: str, pattern: str, group: int = 0, least: int = 1) -> Column:
-    """Array of (start, end, kind, value) of the pattern's leftmost non-overlapping matches, in code points."""
+    """Array of (start, place, end, kind, value) of the pattern's leftmost non-overlapping matches, in code points.
+
+    place is the kind's rank, so spans sort by their first two fields.
+    """
     p = "r'" + pattern.replace("'", "\\x27") + "'"
-    gaps = f"transform(split({text}, {p}), g -> length(g))"
     found = f"regexp_extract_all({text}, {p}, 0)"
     values = found if group == 0 else f"regexp_extract_all({text}, {p}, {group})"
-    # running sums by one fold over the matches: (end of the last match, spans so far)
-    fold = (
-        f"aggregate(sequence(0, size({found}) - 1), struct(0 as at, cast(array() as array<struct<start:int,end:int,kind:string,value:string>>) as spans), "
-        f"(s, i) -> struct(s.at + g[i] + length(m[i]) as at, array_append(s.spans, struct(s.at + g[i] as start, s.at + g[i] + length(m[i]) as end, '{kind}' as kind, v[i] as value)) as spans)).spans"
-    )
-    # the arrays are bound once by a one-element transform, not evaluated for each match
-    fold = fold.replace(f"size({found})", "size(m)")
-    bound = f"transform(array(struct({gaps} as g, {found} as m, {values} as v)), x -> {fold.replace('g[i]', 'x.g[i]').replace('m[i]', 'x.m[i]').replace('v[i]', 'x.v[i]').replace('size(m)', 'size(x.m)')})[0]"
-    none = "cast(array() as array<struct<start:int,end:int,kind:string,value:string>>)"
-    return F.expr(f"case when {text} rlike {p} then filter({bound}, s -> length(s.value) >= {least}) else {none} end")
+    # a fold over the matches keeps the end of the last one.  Arrays that grow are copied at each step, so spans are
+    # gathered FEW at a time; one-element transforms bind what is used twice
+    span = f"struct(s.at + x.g[i] as start, {KINDS.index(kind)} as place, s.at + x.g[i] + length(x.m[i]) as end, '{kind}' as kind, x.v[i] as value)"
+    few = f"aggregate(sequence(j * {FEW}, least(size(x.m), (j + 1) * {FEW}) - 1), struct(all.at as at, {_NO_SPANS} as spans), (s, i) -> struct(s.at + x.g[i] + length(x.m[i]) as at, array_append(s.spans, {span}) as spans))"
+    fold = f"flatten(aggregate(sequence(0, (size(x.m) - 1) div {FEW}), struct(0 as at, cast(array() as array<array<{_SPAN}>>) as parts), (all, j) -> transform(array({few}), r -> struct(r.at as at, array_append(all.parts, r.spans) as parts))[0]).parts)"
+    bound = f"transform(array(struct(transform(split({text}, {p}), g -> length(g)) as g, {found} as m, {values} as v)), x -> {fold})[0]"
+    return F.expr(f"case when {text} rlike {p} then filter({bound}, s -> length(s.value) >= {least}) else {_NO_SPANS} end")
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, owner, mark, base, bare): for each row of docs its base spans and its bare tokens, in order of position.  mark tells rows of the same key apart by text."""
+    """(key, owner, mark, base, bare, hashes): for each row of docs its base spans and its bare tokens, in order of position, and the hashes of the values of both.
+
+    mark tells rows of the same key apart by text.
+    """
     rows = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("owner"), text_or_empty(text).alias("text")).withColumn("mark", F.xxhash64("text"))
-    order = {k: i for i, k in enumerate(BASE)}
-    by_place = f"(a, b) -> case when a.start <> b.start then cast(sign(a.start - b.start) as int) else cast(sign(map({','.join(f"'{k}',{i}" for k, i in order.items())})[a.kind] - map({','.join(f"'{k}',{i}" for k, i in order.items())})[b.kind]) as int) end"
     found = rows.select(
         "key", "owner", "mark",
-        F.concat(_spans("text", "assign", ASSIGN, 2, 6), _spans("text", "access", ACCESS), _spans("text", "hex", HEX)).alias("base"),
+        F.array_sort(F.concat(_spans("text", "assign", ASSIGN, 2, 6), _spans("text", "access", ACCESS), _spans("text", "hex", HEX))).alias("base"),
         _spans("text", "owned", TOKEN).alias("bare"),
     )
-    mixed = "t.value rlike '[a-z]' and t.value rlike '[A-Z]' and t.value rlike '[0-9]'"
-    return found.select("key", "owner", "mark", F.expr(f"case when size(base) < 2 then base else array_sort(base, {by_place}) end").alias("base"), F.expr(f"filter(bare, t -> {mixed} and not exists(base, s -> s.start < t.end and t.start < s.end))").alias("bare"))
+    # hexadecimal runs and access keys lie inside one token, so the token's text tells of them; only assignments are asked by place
+    free = f"not t.value rlike '{HEX}' and not t.value rlike '{ACCESS}' and not exists(keyed, s -> s.start < t.end and t.start < s.end)"
+    found = found.withColumn("keyed", F.filter("base", lambda s: s["kind"] == "assign")).withColumn("bare", F.expr(f"filter(bare, t -> t.value rlike '[A-Za-z]' and t.value rlike '[0-9]' and {free})")).drop("keyed")
+    return found.withColumn("hashes", F.transform(F.concat("base", "bare"), lambda s: _hash(s["value"])))
+
+
+def _hash(value: Column) -> Column:
+    return F.sha2(value.cast("binary"), 256)
 
 
 def ownership(found: DataFrame) -> DataFrame:
     """(hash, owners, repositories): for each candidate value, by how many distinct owners and documents it is held."""
-    held = found.select("key", "mark", "owner", F.explode(F.array_distinct(F.transform(F.concat("base", "bare"), lambda s: F.sha2(s["value"].cast("binary"), 256)))).alias("hash"))
+    held = found.select("key", "mark", "owner", F.explode("hashes").alias("hash"))
     return held.groupBy("hash", "owner", "key", "mark").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, base, spans) for each row of docs.
 
-    base: array of (start, end, kind, value); spans: array of (start, end, kind, value, owners, repositories,
-    verdict), base spans and owned tokens by start, then kind.  verdict is `example` if more than EXAMPLE_OWNERS
-    owners hold the value, `live` if it looks random and at most LIVE_OWNERS hold it, else `unsure`.
+    base: array of (start, place, end, kind, value); spans: array of (start, place, end, kind, value, owners,
+    repositories, verdict), base spans and owned tokens by start, then kind.  verdict is `example` if more than
+    EXAMPLE_OWNERS owners or EXAMPLE_REPOSITORIES repositories hold the value, `live` if it looks random and at most
+    LIVE_OWNERS owners hold it, else `unsure`.
     """
     found = stash(candidates(docs, key, text, source), "candidates")
-    verdicts = ownership(found)
-    held = found.where(F.size("base") + F.size("bare") > 0).select("key", "mark", F.explode(F.array_distinct(F.transform(F.concat("base", "bare"), lambda s: F.sha2(s["value"].cast("binary"), 256)))).alias("hash")).distinct()
-    told = held.join(verdicts, "hash").groupBy("key", "mark").agg(F.map_from_entries(F.collect_list(F.struct("hash", F.struct("owners", "repositories")))).alias("told"))
+    held = found.where(F.size("hashes") > 0).select("key", "mark", F.posexplode("hashes").alias("nth", "hash")).distinct()
+    told = held.join(ownership(found), "hash").groupBy("key", "mark").agg(F.array_sort(F.collect_list(F.struct("nth", "owners", "repositories"))).alias("told"))
     told = told.withColumnRenamed("key", "k").withColumnRenamed("mark", "m")
     out = found.join(told, found["key"].eqNullSafe(told["k"]) & (found["mark"] == told["m"]), "left")
-    looks_live = f"length(s.value) >= {LIVE_LENGTH} and size(array_distinct(split(s.value, ''))) >= {LIVE_VARIETY}"
-    judged = f"""transform(concat(base, bare), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'value', s.value,
-        'owners', told[sha2(cast(s.value as binary), 256)].owners, 'repositories', told[sha2(cast(s.value as binary), 256)].repositories,
-        'verdict', case when told[sha2(cast(s.value as binary), 256)].owners > {EXAMPLE_OWNERS} then 'example'
-                        when told[sha2(cast(s.value as binary), 256)].owners <= {LIVE_OWNERS} and {looks_live} then 'live' else 'unsure' end))"""
-    ranks = f"map({','.join(f"'{k}',{i}" for i, k in enumerate((*BASE, 'owned')))})"
-    by_place = f"(a, b) -> case when a.start <> b.start then cast(sign(a.start - b.start) as int) else cast(sign({ranks}[a.kind] - {ranks}[b.kind]) as int) end"
-    spans = F.expr(f"array_sort(filter({judged}, s -> s.kind <> 'owned' or s.verdict = 'live'), {by_place})")
-    return out.select(F.col("key").alias(key), "base", spans.alias("spans"))
+    met = F.zip_with(F.concat("base", "bare"), F.coalesce("told", F.array().cast("array<struct<nth:int,owners:bigint,repositories:bigint>>")), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
+    out = out.select(F.col("key").alias(key), "base", met.alias("met"))
+    looks_live = f"length(x.s.value) >= {LIVE_LENGTH} and size(array_distinct(split(x.s.value, ''))) >= {LIVE_VARIETY}"
+    judged = f"""transform(met, x -> named_struct('start', x.s.start, 'place', x.s.place, 'end', x.s.end, 'kind', x.s.kind, 'value', x.s.value, 'owners', x.t.owners, 'repositories', x.t.repositories,
+        'verdict', case when x.t.owners > {EXAMPLE_OWNERS} or x.t.repositories > {EXAMPLE_REPOSITORIES} then 'example' when x.t.owners <= {LIVE_OWNERS} and {looks_live} then 'live' else 'unsure' end))"""
+    return out.select(key, "base", F.expr(f"array_sort(filter({judged}, s -> s.kind <> 'owned' or s.verdict = 'live'))").alias("spans"))
 
 
 def joined(column: str) -> Column:
@@ -147,12 +157,12 @@ WITH docs AS (SELECT doc_id, source AS owner, coalesce(text, '') AS text, hash(c
 base AS ({spans("assign", ASSIGN, 2, 6)} UNION ALL {spans("access", ACCESS, 0, 1)} UNION ALL {spans("hex", HEX, 0, 1)}),
 bare AS (
   SELECT * FROM ({spans("owned", TOKEN, 0, 1)}) t
-  WHERE regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[0-9]')
+  WHERE regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.mark = t.mark AND b.lo < t.hi AND t.lo < b.hi)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
-owners AS (SELECT value, count(DISTINCT coalesce(owner, chr(1))) AS owners FROM every GROUP BY value),
+owners AS (SELECT value, count(DISTINCT coalesce(owner, chr(1))) AS owners, count(DISTINCT (coalesce(doc_id::VARCHAR, ''), mark)) AS repositories FROM every GROUP BY value),
 judged AS (
-  SELECT e.*, list_position({[*BASE, "owned"]}, kind) AS place, CASE WHEN o.owners > {EXAMPLE_OWNERS} THEN 'example'
+  SELECT e.*, list_position({[*BASE, "owned"]}, kind) AS place, CASE WHEN o.owners > {EXAMPLE_OWNERS} OR o.repositories > {EXAMPLE_REPOSITORIES} THEN 'example'
     WHEN o.owners <= {LIVE_OWNERS} AND len(value) >= {LIVE_LENGTH} AND len(list_distinct(string_split(value, ''))) >= {LIVE_VARIETY} THEN 'live' ELSE 'unsure' END AS verdict
   FROM every e JOIN owners o USING (value)),
 told AS (

@@ -39,6 +39,21 @@ def test_owners_tell_examples_from_live_values(spark):
     assert by_id[10].spans == "assign:0:33,hex:7:33"
 
 
+def test_many_repositories_of_one_owner_make_an_example(spark):
+    token = "ZZ91ab" * 5
+    rows = [(i, f"use {token} or {i}", "one") for i in range(11)] + [(50 + i, f"see {LIVE} {i}", "one") for i in range(10)]
+    by_id = {r.doc_id: r for r in secrets.summary(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert by_id[0].spans == "" and by_id[50].spans == f"owned:4:{4 + len(LIVE)}"
+
+
+def test_a_text_with_thousands_of_matches(spark):
+    text = " ".join(f"token={i:06d}x AKIA{i:016d} {i:024x} T{i:030d}" for i in range(3000))
+    row = secrets.summary(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).collect()[0]
+    found = base(text)
+    assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(x[0] == k for x in found) for k in secrets.BASE)
+    assert row.base_sha256 == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in found).encode()).hexdigest()
+
+
 def test_masked_texts_lose_their_spans(spark):
     got = sorted(((r.doc_id, r.text) for r in secrets.mask(frame(spark)).collect()), key=str)
     assert len(got) == len(ROWS)
