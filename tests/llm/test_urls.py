@@ -11,23 +11,24 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("most_bits", [urls.MOST_BITS, 0])
-def test_hosts_paths_rules_and_list(spark, most_bits):
+@pytest.mark.parametrize("shard_keys", [urls.SHARD_KEYS, 2])
+def test_hosts_paths_rules_and_list(spark, shard_keys):
     pages = spark.createDataFrame([(k, u, "x", "y") for k, u, _ in ROWS], "page_id long, url string, host string, listed string")
-    got = urls.judge(pages, urls.RULES, urls.tracked(), most_bits=most_bits).collect()
+    got = urls.judge(pages, urls.RULES, urls.tracked(), shard_keys=shard_keys).collect()
     assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got), key=str) == sorted(((k, *w) for k, _, w in ROWS), key=str)
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+@pytest.mark.parametrize("shard_keys", [urls.SHARD_KEYS, 1500])
+def test_cascade_is_exact_over_its_universe(spark, shard_keys):
     universe = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    cascade = urls.build(universe)
-    assert len(cascade.levels) > 2
-    assert universe.where(cascade.member(F.col("key")) != F.col("listed")).count() == 0
-    assert urls.build(universe, 1000) is None
+    cascade = urls.build(universe, shard_keys)
+    assert len(cascade.levels) > 2 and cascade.shards == -(-20000 // shard_keys)
+    told = cascade.marked(universe, "key", "told")
+    assert told.count() == 20000 and told.where("told <> listed").count() == 0
 
 
 def test_empty_table_and_empty_list(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urls.judge(pages, urls.RULES, urls.tracked()).count() == 0
     one = spark.createDataFrame([("a", False)], "key string, listed boolean")
-    assert one.where(urls.build(one).member(F.col("key"))).count() == 0
+    assert urls.build(one).marked(one, "key", "told").where("told").count() == 0
