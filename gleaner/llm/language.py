@@ -6,8 +6,9 @@ the language with the least sum of out-of-place distances is predicted; an n-gra
 the profile's length.
 
 Profiles are learned from a bounded sample: about `per_language` documents of each language, chosen by a hash
-of the key.  At most `most_languages` languages, the most frequent ones, are learned.  What goes to the driver
-is most_languages x depth n-grams.
+of the key.  Every language is learned.  Prediction compares a document with BLOCK languages at a time, in as many
+passes over the text, so what a task holds is BLOCK x depth n-grams, however many languages there are; the driver
+holds depth n-grams for each language.
 
 Defined results: a text that is null or has no letter gives `und` and score 0; ties between languages go to the
 first in code point order; with no learned language every text gives `und`.  Only key and text of a document
@@ -24,10 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small_batches
+from gleaner.llm.common import small_batches, stash
 
-DEPTH, PER_LANGUAGE, MOST_LANGUAGES = 400, 2000, 256
-BATCH = 512
+DEPTH, PER_LANGUAGE, BLOCK = 400, 2000, 256
+#: Up to so many languages, their shares of the sample are broadcast; beyond, Spark joins them as it finds best.
+FEW_LANGUAGES = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -56,14 +58,13 @@ def ranked(codes: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
     return codes[np.argsort(-counts, kind="stable")[:depth]]
 
 
-def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", depth: int = DEPTH, per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> dict[str, list[int]]:
+def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", depth: int = DEPTH, per_language: int = PER_LANGUAGE) -> dict[str, list[int]]:
     """Profiles: for each language its packed n-grams by rank.  Rows with a null key, text or language are not learned from."""
     rows = labelled.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).dropna()
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    if not sizes:
-        return {}
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))])
-    sample = rows.where((F.xxhash64("key", F.lit("language sample")) / F.lit(2.0**64) + 0.5) < share[F.col("lang")])
+    sizes = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(per_language) / F.count("*")).alias("share"))
+    sizes = stash(sizes, "languages")
+    few = sizes.count() <= FEW_LANGUAGES  # rows of a name and a number: a few MB at most
+    sample = rows.join(F.broadcast(sizes) if few else sizes, "lang").where((F.xxhash64("key", F.lit("language sample")) / F.lit(2.0**64) + 0.5) < F.col("share"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -81,31 +82,51 @@ def learn(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     return profiles
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+class Block:
+    """Profiles of some languages, laid out for comparing."""
+
+    def __init__(self, profiles: dict[str, list[int]], depth: int) -> None:
+        self.names, self.depth = sorted(profiles), depth
+        self.known = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.array(profiles[n], np.int64) for n in self.names]]))
+        self.places = np.full((len(self.known) + 1, len(self.names)), depth, np.int64)  # the last row: an n-gram in no profile
+        for i, n in enumerate(self.names):
+            self.places[np.searchsorted(self.known, profiles[n]), i] = np.arange(len(profiles[n]))
+
+    def nearest(self, own: np.ndarray) -> tuple[int, str]:
+        """(distance, language) of the least out-of-place language for a document's ranked n-grams."""
+        at = np.searchsorted(self.known, own)
+        at[(at == len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != own)] = len(self.known)
+        place = self.places[at]
+        far = np.where(place == self.depth, self.depth, np.abs(place - np.arange(len(own))[:, None])).sum(0)
+        best = int(far.argmin())
+        return int(far[best]), self.names[best]
+
+
+def predict(docs: DataFrame, profiles: dict[str, list[int]], key: str = "doc_id", text: str = "text", depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """(key, lang_pred, score): score is 1 - distance / largest possible distance."""
     small_batches(docs.sparkSession)
     names = sorted(profiles)
-    known = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.array(profiles[n], np.int64) for n in names]]))
-    places = np.full((len(known) + 1, len(names)), depth, np.int64)  # the last row: an n-gram in no profile
-    for i, n in enumerate(names):
-        places[np.searchsorted(known, profiles[n]), i] = np.arange(len(profiles[n]))
-
-    def one(t: str | None) -> tuple[str, float]:
-        own = ranked(*grams(t), depth)
-        if not len(own) or not names:
-            return "und", 0.0
-        at = np.searchsorted(known, own)
-        at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != own)] = len(known)
-        place = places[at]
-        far = np.where(place == depth, depth, np.abs(place - np.arange(len(own))[:, None])).sum(0)
-        best = int(far.argmin())
-        return names[best], 1.0 - float(far[best]) / (depth * len(own))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [one(t) for t in b["text"]]
-            yield pd.DataFrame({"key": b["key"], "lang_pred": [x for x, _ in found], "score": [s for _, s in found]})
+    blocks = [Block({n: profiles[n] for n in names[i : i + block]}, depth) for i in range(0, len(names), block)]
+
+    def pass_over(told: Block):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                langs, far, sizes = b["lang_pred"].tolist(), b["far"].to_numpy(copy=True), b["n"].to_numpy(copy=True)
+                for i, t in enumerate(b["text"]):
+                    own = ranked(*grams(t), depth)
+                    if len(own):
+                        d, lang = told.nearest(own)
+                        if sizes[i] == 0 or d < far[i]:  # of languages equally far, the first by name
+                            langs[i], far[i], sizes[i] = lang, d, len(own)
+                yield pd.DataFrame({"key": b["key"], "text": b["text"], "lang_pred": langs, "far": far, "n": sizes})
+
+        return run
 
     kind = dict(docs.dtypes)[key]
-    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInPandas(run, "key string, lang_pred string, score double").select(F.col("key").cast(kind).alias(key), "lang_pred", "score")
+    rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"), F.lit("und").alias("lang_pred"), F.lit(0).cast("long").alias("far"), F.lit(0).cast("long").alias("n"))
+    for i, told in enumerate(blocks):
+        last = i == len(blocks) - 1
+        run = pass_over(told)
+        rows = rows.mapInPandas((lambda batches, run=run: (x.drop(columns="text") for x in run(batches))) if last else run, f"key string, {'' if last else 'text string, '}lang_pred string, far long, n long")
+    score = F.when(F.col("n") > 0, 1.0 - F.col("far") / (F.lit(depth) * F.col("n"))).otherwise(0.0)
+    return rows.select(F.col("key").cast(kind).alias(key), "lang_pred", score.alias("score"))

@@ -12,8 +12,9 @@ where there are as many.  So what goes to the driver and back out by broadcast i
 small numbers at most, whatever the corpus holds.  Repeats of a key's label are one; a key with both labels
 counts for each.
 
-Defined results: empty and null texts score too (they have the zero vector, similarity 0 to all: the sample's
-mean label); with no labels every score is 0.5; ties among neighbours go to the earlier one by key.
+Defined results: null texts and texts without words score 0, as there is nothing in them to be good; a text unlike
+every labelled one gets the sample's mean label; with no labels every score is 0.5; ties among neighbours go to the
+earlier one by key.
 """
 
 from __future__ import annotations
@@ -40,12 +41,12 @@ def shape(token: str) -> str:
     """Letters as a or A, digits as 0, other characters as they are; runs of the same are one."""
     if token.isalpha():
         return "a" if token.islower() else "Aa" if token.istitle() else "A" if token.isupper() else "aA"
-    out = ""
-    for c in token[:64]:
+    out = [""]
+    for c in token:
         k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if not out.endswith(k):
-            out += k
-    return out
+        if out[-1] != k:
+            out.append(k)
+    return "".join(out)
 
 
 class Terms:
@@ -111,7 +112,7 @@ class Model:
         at = np.argsort(-near, axis=1, kind="stable")[:, :k] if near.shape[1] <= k else np.argpartition(-near, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(near, at, 1), 0).astype(np.float64) ** 8
         total = weight.sum(1)
-        mean = float(self.labels.mean())
+        mean = np.where(counts.any(1), float(self.labels.mean()), 0.0)
         return np.where(total > 1e-12, (weight * self.labels[at]).sum(1) / np.maximum(total, 1e-12), mean).clip(0, 1)
 
 

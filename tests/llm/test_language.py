@@ -41,6 +41,15 @@ def test_prediction_is_least_out_of_place(spark):
         assert (r.doc_id, r.lang_pred) == (key, want) and 0 <= r.score <= 1 and (not own or abs(r.score - (1 - far[want] / language.DEPTH / len(own))) < 1e-9)
 
 
+def test_more_languages_than_a_block(spark):
+    train = [(i, f"{chr(97 + i)}{chr(98 + i % 20)} " * 5, f"l{i:02d}") for i in range(20)]
+    profiles = language.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    rows = spark.createDataFrame([*[(i, t) for i, t, _ in train], (30, None), (31, "zz")], "doc_id long, text string")
+    whole = [tuple(r) for r in language.predict(rows, profiles).collect()]
+    assert len(profiles) == 20 and [w[1] for w in whole[:20]] == [x for _, _, x in train] and whole[20][1:] == ("und", 0.0)
+    assert [tuple(r) for r in language.predict(rows, profiles, block=3).collect()] == whole
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op2_language(spark, d).join(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text"), "doc_id").where("text is not null and lang is not null")

@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from gleaner.llm import topk
 
 
@@ -27,6 +29,21 @@ def test_as_scored_slowly(spark, monkeypatch):
         assert sorted(map(tuple, got)) == brute(rows, k, 20)
 
 
+def test_blocks_of_grouped_vectors_are_pruned():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 64, (40, 32))
+    group = np.sort(rng.integers(0, 40, 4000))  # vectors of a group lie together
+    vectors = np.floor(centres[group] + rng.normal(0, 6, (4000, 32)))
+    shard = topk.Shard(np.arange(4000), np.arange(4000), vectors)
+    asked = vectors[::50]
+    kth = np.array([np.sort(q @ vectors.T)[-20] for q in asked])
+    assert shard.reached(asked, kth) < 0.25
+    found = shard.search(asked, np.full(len(asked), -1), np.full(len(asked), -np.inf), 20)
+    for q, (ids, scores) in zip(asked, found, strict=True):
+        want = sorted(zip(-(q @ vectors.T), range(4000), strict=True))[:20]
+        assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist(), strict=True)] == want
+
+
 def test_none(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(frame, "id % 20 = 0", 20).count() == 0
