@@ -17,24 +17,29 @@ MAX_ROUNDS = 60
 SHARE, FEW_EDGES = 1000, 100
 
 
-def _with_minima(pairs: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs with m, minima): m is the least of u's neighbours and u itself."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    hubs = F.broadcast(least.where(F.col("n") > limit).select("u", "m"))  # 2 x SHARE rows at most
-    by_hub = pairs.join(hubs, "u")
-    rest = pairs.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= limit).select("u", "m"), "u")
-    return rest.unionByName(by_hub), least.select("u", "m")
+def _minima(pairs: DataFrame) -> DataFrame:
+    """(node, m, n): the least of each node's neighbours and itself, and how many it has."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    return stash(least.select(F.col("u").alias("node"), F.least("u", "m").alias("m"), "n"), "minima")
+
+
+def _with_minima(pairs: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """pairs with m, the minimum of u.  A hub's rows are dealt at random in the shuffled join, as they have theirs already."""
+    hubs = F.broadcast(least.where(F.col("n") > limit).select(F.col("node").alias("u"), F.col("m").alias("hub_m")))  # 2 x SHARE rows at most
+    told = pairs.join(hubs, "u", "left").withColumn("node", F.when(F.col("hub_m").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v")))
+    return told.join(least.select("node", "m"), "node", "left").select("u", "v", F.coalesce("hub_m", "m").alias("m"))
 
 
 def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_minima(both, limit)[0].where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_minima(both, _minima(both), limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    met, least = _with_minima(down, limit)
-    return met.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    least = _minima(down)
+    met = _with_minima(down, least, limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return met.unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,8 +52,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = sign(now)
     for _ in range(MAX_ROUNDS):
         limit = max(FEW_EDGES, before[0] // SHARE)
-        # the large star hands the small star fewer edges than it got, so one limit bounds the hubs of both
-        now = stash(_small_star(_large_star(now, limit), limit).where("u <> v").distinct(), "edges")
+        # the large star hands the small star no more edges than it got, so one limit bounds the hubs of both
+        starred = stash(_large_star(now, limit), "starred")
+        now = stash(_small_star(starred, limit).where("u <> v").distinct(), "edges")
         after = sign(now)
         if after == before:
             break
