@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions import text as text_
+
 #: Project types by markers, first that occurs wins.
 PROJECT_TYPES = [
     ("ecommerce", ["интернет-магазин", "интернет магазин", "маркетплейс", "woocommerce"]),
@@ -83,21 +85,29 @@ def budget(text: Column, strict: bool = False) -> Column:
     By default a range needs no currency, and a date after "до" reads as an amount; strict=True asks ranges and
     limits for a currency or suffix too.
     """
-    group = lambda p, i: F.regexp_extract(text, p, i)
-    told = lambda p, *groups: (F.concat(*[group(p, g) for g in groups]) != "") if strict else F.lit(True)
-    digits = text.rlike(r"\p{Nd}")  # cheap; without one the amounts' patterns need not run
-    money = F.filter(F.regexp_extract_all(text, F.lit(MONEY), F.lit(0)), lambda m: (F.regexp_extract(m, MONEY, 2) != "") | currency(F.regexp_extract(m, MONEY, 3)).isNotNull())
-    first = F.get(money, F.lit(0))
-    once = amount(F.regexp_extract(first, MONEY, 1), F.regexp_extract(first, MONEY, 2))
     no = F.lit(False)
-    return (
-        F.when(text.rlike(NEGOTIABLE), F.array(entity("budget", group(NEGOTIABLE, 0), 0.9, negotiable=F.lit(True))))
-        .when(~digits, none())
-        .when(text.rlike(RANGE) & told(RANGE, 2, 4, 5), F.array(entity("budget", group(RANGE, 0), 0.95, amount_from=amount(group(RANGE, 1), group(RANGE, 2)), amount_to=amount(group(RANGE, 3), group(RANGE, 4)), currency=currency(group(RANGE, 5)), negotiable=no)))
-        .when(text.rlike(UP_TO) & told(UP_TO, 2, 3), F.array(entity("budget", group(UP_TO, 0), 0.9, amount_to=amount(group(UP_TO, 1), group(UP_TO, 2)), currency=currency(group(UP_TO, 3)), negotiable=no)))
-        .when(first.isNotNull(), F.array(entity("budget", first, 0.9, amount_from=once, amount_to=once, currency=currency(F.regexp_extract(first, MONEY, 3)), negotiable=no)))
-        .otherwise(none())
-    )
+
+    def in_range(m: Column) -> Column:
+        g = lambda i: F.regexp_extract(m, RANGE, i)
+        return entity("budget", m, 0.95, amount_from=amount(g(1), g(2)), amount_to=amount(g(3), g(4)), currency=currency(g(5)), negotiable=no)
+
+    def up_to(m: Column) -> Column:
+        g = lambda i: F.regexp_extract(m, UP_TO, i)
+        return entity("budget", m, 0.9, amount_to=amount(g(1), g(2)), currency=currency(g(3)), negotiable=no)
+
+    def single(m: Column) -> Column:
+        g = lambda i: F.regexp_extract(m, MONEY, i)
+        return text_.bound(amount(g(1), g(2)), lambda once: entity("budget", m, 0.9, amount_from=once, amount_to=once, currency=currency(g(3)), negotiable=no))
+
+    # a whole match is taken once; its groups are read from the match, not from the text
+    found = lambda p: F.regexp_extract(text, p, 0)
+    told = lambda m, p, *groups: (m != "") & ((F.concat(*[F.regexp_extract(m, p, g) for g in groups]) != "") if strict else F.lit(True))
+    money = F.filter(F.regexp_extract_all(text, F.lit(MONEY), F.lit(0)), lambda m: (F.regexp_extract(m, MONEY, 2) != "") | currency(F.regexp_extract(m, MONEY, 3)).isNotNull())
+    first = text_.bound(F.get(money, F.lit(0)), lambda m: F.when(m.isNull(), none()).otherwise(F.array(single(m))))
+    limit = text_.bound(found(UP_TO), lambda m: F.when(told(m, UP_TO, 2, 3), F.array(up_to(m))).otherwise(first))
+    amounts = text_.bound(found(RANGE), lambda m: F.when(told(m, RANGE, 2, 4, 5), F.array(in_range(m))).otherwise(limit))
+    negotiable = text_.bound(found(NEGOTIABLE), lambda m: F.when(m != "", F.array(entity("budget", m, 0.9, negotiable=F.lit(True)))).when(text.rlike(r"\p{Nd}"), amounts).otherwise(none()))
+    return negotiable
 
 
 def deadline(text: Column, as_of: Column) -> Column:
@@ -137,7 +147,8 @@ def contacts(text: Column) -> Column:
         F.transform(every(PHONE, digits), lambda m: one("phone", m, F.regexp_replace(m, r"(?U)[^\d+]", ""))),
         F.transform(F.filter(every(URL, text.contains("://")), lambda m: ~F.lower(m).contains("t.me/")), lambda m: one("url", m, m)),
     )
+    # found is bound, so the patterns run once and not for each contact
     same = lambda a, b: (a["value_norm"]["kind"] == b["value_norm"]["kind"]) & (a["value_norm"]["value"] == b["value_norm"]["value"])
-    once = F.filter(found, lambda x, i: ~F.exists(F.slice(found, F.lit(1), i), lambda y: same(x, y)))
+    once = lambda all_: F.filter(all_, lambda x, i: ~F.exists(F.slice(all_, F.lit(1), i), lambda y: same(x, y)))
     implicit = F.array(entity("contact", F.lit("implicit_contact"), 0.5, kind=F.lit("implicit"), value=F.lit("direct_message")))
-    return F.when(F.size(found) > 0, once).when(text.rlike(IMPLICIT), implicit).otherwise(none())
+    return text_.bound(found, lambda all_: F.when(F.size(all_) > 0, once(all_)).when(text.rlike(IMPLICIT), implicit).otherwise(none()))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ class Patterns:
     task_object: str = r"\b(сайт|лендинг|магазин|crm|api|оплат|форма|верстк|бот|дизайн)\w*\b"
 
 
+#: The classes, and what is told of each post.
 LABELS = ["order", "vacancy", "service_ad", "resume", "partnership", "spam", "discussion", "irrelevant"]
 SIGNALS = ["need", "task", "budget", "deadline", "contact", "niche", "freshness", "p_client", "ad_signals", "spam_signals"]
 
@@ -47,36 +49,45 @@ def _on(test: Column, value: float = 1.0) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), value).otherwise(0.0)
 
 
-def signals(text: Column, published_at: Column, as_of: Column, hits: Column, negative: Column, types: Column, budgets: Column, deadlines: Column, contacts: Column, patterns: Patterns = Patterns(), settings: Settings = DEFAULT) -> Column:
+def flags(text: Column, patterns: Patterns = Patterns()) -> Column:
+    """struct of booleans: whether each pattern occurs.  signals() and decide() take it in place of patterns, so that none is matched twice."""
+    return F.struct(*[F.coalesce(text.rlike(f"(?U){getattr(patterns, f.name)}"), F.lit(False)).alias(f.name) for f in fields(Patterns)])
+
+
+def _test(text: Column, patterns: Patterns | Column) -> Callable[[str], Column]:
+    return (lambda name: patterns[name]) if isinstance(patterns, Column) else lambda name: text.rlike(f"(?U){getattr(patterns, name)}")
+
+
+def signals(text: Column, published_at: Column, as_of: Column, hits: Column, negative: Column, types: Column, budgets: Column, deadlines: Column, contacts: Column, patterns: Patterns | Column = Patterns(), settings: Settings = DEFAULT) -> Column:
     """struct of ten numbers between 0 and 1.  hits .. contacts are arrays of entities."""
     has = lambda a: F.size(a) > 0
-    is_ = lambda p: text.rlike(f"(?U){p}")
-    task = F.when(has(types) | is_(patterns.task), 1.0).otherwise(_on(is_(patterns.task_object), 0.5))
+    is_ = _test(text, patterns)
+    task = F.when(has(types) | is_("task"), 1.0).otherwise(_on(is_("task_object"), 0.5))
     budget = F.when(has(budgets), F.when(F.coalesce(budgets[0]["value_norm"]["negotiable"], F.lit(False)), 0.5).otherwise(1.0)).otherwise(0.0)
-    ad, spam = _on(has(negative) | is_(patterns.service_ad)), _on(is_(patterns.spam))
+    ad, spam = _on(has(negative) | is_("service_ad")), _on(is_("spam"))
     client = clamp(1.0 - 0.75 * ad - 0.35 * spam)
-    client = F.when(is_(patterns.vacancy) | is_(patterns.resume), F.least(client, F.lit(0.35))).otherwise(client)
-    values = [_on(has(hits) | is_(patterns.need)), task, budget, _on(has(deadlines)), _on(has(contacts)), _on(has(types)), freshness_signal(published_at, as_of, settings.freshness_days), client, ad, spam]
+    client = F.when(is_("vacancy") | is_("resume"), F.least(client, F.lit(0.35))).otherwise(client)
+    values = [_on(has(hits) | is_("need")), task, budget, _on(has(deadlines)), _on(has(contacts)), _on(has(types)), freshness_signal(published_at, as_of, settings.freshness_days), client, ad, spam]
     return F.struct(*[v.alias(n) for n, v in zip(SIGNALS, values, strict=True)])
 
 
-def decide(text: Column, s: Column, hits: Column, negative: Column, passed_prefilter: Column, patterns: Patterns = Patterns()) -> Column:
-    """struct(label, confidence): the first of an ordered list of cases that holds."""
-    is_ = lambda p: text.rlike(f"(?U){p}")
+def decide(text: Column, s: Column, hits: Column, negative: Column, passed_prefilter: Column, patterns: Patterns | Column = Patterns()) -> Column:
+    """struct(label, confidence): the first of an ordered list of cases that holds.  Order and numbers are fixed values."""
+    is_ = _test(text, patterns)
     strength = 0.32 * s["need"] + 0.24 * s["task"] + 0.16 * s["niche"] + 0.12 * s["budget"] + 0.08 * s["contact"] + 0.08 * s["deadline"]
     sure = F.least(F.lit(0.95), F.greatest(F.lit(0.62), strength + 0.18))
     cases = [
         (F.coalesce(text, F.lit("")) == "", "irrelevant", 0.9),
-        (is_(patterns.spam), "spam", 0.92),
-        (is_(patterns.vacancy), "vacancy", 0.86),
-        (is_(patterns.resume), "resume", 0.86),
-        (is_(patterns.partnership), "partnership", 0.82),
-        ((F.size(negative) > 0) | is_(patterns.service_ad), "service_ad", 0.88),
-        (is_(patterns.discussion) & (s["need"] < 1), "discussion", 0.76),
+        (is_("spam"), "spam", 0.92),
+        (is_("vacancy"), "vacancy", 0.86),
+        (is_("resume"), "resume", 0.86),
+        (is_("partnership"), "partnership", 0.82),
+        ((F.size(negative) > 0) | is_("service_ad"), "service_ad", 0.88),
+        (is_("discussion") & (s["need"] < 1), "discussion", 0.76),
         (F.coalesce(~passed_prefilter, F.lit(False)) & (F.size(hits) == 0) & (strength < 0.42), "irrelevant", 0.9),
         ((strength >= 0.58) & (s["ad_signals"] < 0.5) & (s["spam_signals"] < 0.5), "order", sure),
         (strength >= 0.42, "order", 0.55),
-        (is_(patterns.discussion), "discussion", 0.72),
+        (is_("discussion"), "discussion", 0.72),
     ]
     out = F.struct(F.lit("irrelevant").alias("label"), F.lit(0.78).alias("confidence"))
     for test, label, confidence in reversed(cases):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
@@ -44,18 +45,25 @@ def normalize_text(text: Column, compose: bool = True) -> Column:
     return F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), r"^ | $", "")
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f uses it (a transform of a one-element array)."""
+    return F.transform(F.array(value), lambda v: f(v))[0]
+
+
 def detect_language(text: Column, markers: list[str] | None = None) -> Column:
-    """unknown without letters; en under a quarter of Cyrillic; uk by its own letters; ru by markers or half Cyrillic; else unknown.  text is normalised."""
-    count = lambda p: F.regexp_count(text, F.lit(f"(?iu){p}"))
-    cyrillic, latin = count(CYRILLIC), count(LATIN)
-    share = cyrillic / F.nullif(cyrillic + latin, F.lit(0))
+    """unknown without letters; en under a quarter of Cyrillic; uk by its own letters; ru by markers or half Cyrillic; else unknown.  text is normalised.
+
+    Letters are counted only in texts that have Cyrillic ones, by the length that is lost when they are deleted.
+    """
+    count = lambda p: F.length(text) - F.length(F.regexp_replace(text, f"(?iu){p}+", ""))
     marked = F.lit(False)
     for m in RUSSIAN_MARKERS if markers is None else markers:
         marked = marked | text.contains(m)
-    return (
-        F.when(F.coalesce(share, F.lit(-1.0)) < 0, "unknown").when(share < 0.25, "en").when(text.rlike(f"(?iu){UKRAINIAN}"), "uk")
-        .when(marked | (share >= 0.5), "ru").otherwise("unknown")
-    )
+    by_share = lambda share: (
+        F.when(share < 0.25, "en").when(text.rlike(f"(?iu){UKRAINIAN}"), "uk").when(marked | (share >= 0.5), "ru").otherwise("unknown")
+    )
+    mixed = bound(bound(count(CYRILLIC), lambda n: n / (n + count(LATIN))), by_share)
+    return F.when(text.rlike(f"(?iu){CYRILLIC}"), mixed).when(text.rlike(f"(?iu){LATIN}"), "en").otherwise("unknown")
 
 
 def language_by_markers(text: Column, markers: dict[str, list[str]]) -> Column:
@@ -134,9 +142,11 @@ def match_keywords(text: Column, rules: list[Rule], fuzzy: bool = True) -> Colum
         phrase = r.phrase.lower().strip()
         miss = none
         if fuzzy and " " not in phrase and len(phrase) >= 6:
-            near = F.filter(words, _within_one(phrase))
-            exact = F.levenshtein(F.lit(phrase), F.get(near, F.lit(0)), 1) == 0
-            miss = F.when(F.size(near) > 0, F.when(exact, F.array(hit(near[0]).cast(HIT))).otherwise(F.array(hit(near[0], True, 1).cast(HIT)))).otherwise(none)
+            first = F.get(F.filter(words, _within_one(phrase)), F.lit(0))
+            told = lambda w, phrase=phrase, hit=hit, none=none: (
+                F.when(w.isNull(), none).when(F.levenshtein(F.lit(phrase), w, 1) == 0, F.array(hit(w).cast(HIT))).otherwise(F.array(hit(w, True, 1).cast(HIT)))
+            )
+            miss = bound(first, told)
         there = text.rlike(pattern)
         for word in phrase.split():
             there = text.contains(word) & there  # cheap, and most texts lack one of the words

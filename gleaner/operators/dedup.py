@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.sources.scratch import stored
+
 
 def normalize_contacts(contacts: Column) -> Column:
     """Values in lower case and sorted, kinds sorted; null gives an empty map."""
@@ -43,12 +45,14 @@ def canonical(df: DataFrame, group: str, order: list[Column], key: str) -> DataF
 def deduplicate_orders(orders: DataFrame, as_of: Column | None = None, days: int | None = 7, hash_on: str = "content_hash") -> DataFrame:
     """orders with duplicate_group_id, canonical_order_id, group_size and method; all null for an order without a duplicate.
 
+    The fingerprinted orders are written once to the shared folder, so that what makes them runs once.
+
     Equal raw texts give equal fingerprints, so grouping by fingerprint is the closure over both keys.  Only
     orders of the last `days` before as_of are grouped (days=None: all).  method is content_hash where the row has one.
     """
     rows = orders if "duplicate_fingerprint" in orders.columns else fingerprint(orders)
     inside = F.lit(True) if days is None or as_of is None else F.col("published_at") >= as_of - F.expr(f"interval {days} days")
-    rows = rows.withColumn("__in", inside)
+    rows = stored(rows.withColumn("__in", inside), "orders")  # read by the grouping and by the join
     order = [F.col("published_at"), -completeness(), -F.col("relevance_score"), F.col("order_id").cast("string")]
     groups = canonical(rows.where("__in"), "duplicate_fingerprint", order, "order_id").where("size > 1")
     out = rows.join(groups, "duplicate_fingerprint", "left")

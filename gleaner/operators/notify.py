@@ -6,10 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import normalize_text
-from gleaner.operators.dedup import first_by
 from gleaner.operators.semantic import representative_budget
 
 
+#: Up to so many subscriptions are broadcast to the orders; more are shuffled by key.
+FEW = 20_000
+#: Wide enough for the mean of two amounts of decimal(14,2), and as fast to compare as a long.
+MONEY = "decimal(18,4)"
+LISTS = ("types", "sources", "currencies_", "yes", "no")
+
+
 def in_quiet_hours(at: Column, start: Column, end: Column, zone: Column) -> Column:
     """Local time in [start, end), over midnight if start is later; no hours, never."""
     local = F.date_format(F.from_utc_timestamp(at, zone), "HH:mm:ss")
@@ -36,27 +42,64 @@ def _listed(values: Column, value: Column) -> Column:
     return (F.coalesce(F.size(values), F.lit(0)) <= 0) | F.coalesce(F.array_contains(values, value), F.lit(False))
 
 
-def match_subscriptions(orders: DataFrame, subscriptions: DataFrame, as_of: Column, compose: bool = True) -> DataFrame:
-    """(order, sub): for each order and user the earliest of the user's enabled subscriptions that the order fits.
+def _limits(subscriptions: DataFrame) -> DataFrame:
+    """Enabled subscriptions as `s`, with their filters in one form: empty lists for null ones, words normalised, currencies in upper case, and `rank` within the user.
 
-    Orders meet subscriptions on project type: one that names types is exploded by them, one that names none meets
-    orders through a key that all have, so no pair is made of an order and a subscription for other types.
+    Of a user's subscriptions that differ only in their least budget, a later one that asks for no less than an earlier
+    one can never be the first to fit, so it is left out.
+    """
+    tidy = lambda c, f=None: F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast(dict(subscriptions.dtypes)[c])), f) if f else F.coalesce(F.col(c), F.array().cast(dict(subscriptions.dtypes)[c]))))
+    words = lambda k: normalize_text(k, False)
+    lists = {"types": tidy("project_types"), "sources": tidy("source_ids"), "currencies_": tidy("currencies", F.upper), "yes": tidy("positive_keywords", words), "no": tidy("negative_keywords", words)}
+    subs = subscriptions.where("enabled").withColumn("s", F.struct(*subscriptions.columns)).withColumns(lists)
+    same = Window.partitionBy("user_id", *lists, "min_relevance_score", "budget_max", "freshness_days").orderBy("created_at", "subscription_id")
+    least = F.coalesce(F.col("budget_min").cast("decimal(38,2)"), F.lit(-1).cast("decimal(38,2)"))
+    before = F.min(least).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    subs = subs.withColumn("__open", before.isNull() | (least < before)).where("__open")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("created_at", "subscription_id"))
+    return subs.select("s", *lists, rank.alias("rank"), F.col("user_id").alias("user"))
+
+
+def match_pairs(orders: DataFrame, subscriptions: DataFrame, as_of: Column, compose: bool = True) -> DataFrame:
+    """(order_id, subscription): for each order and user the earliest of the user's enabled subscriptions that the order fits.
+
+    Orders meet subscriptions on keys: a subscription stands under its sources if it names any, else its project types,
+    else its currencies, else the band of ten that its least relevance lies in; an order has its own source, type,
+    currency and all bands up to its own.  So a pair is made only where the narrowest list or the relevance fits.  The
+    earliest one of a user is a minimum of ranks with partial aggregation.  Subscriptions are broadcast up to FEW of them.
     """
     text = normalize_text(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("normalized_text", F.lit(""))), compose)
-    left = orders.withColumn("__text", text).withColumn("__key", F.explode(F.array_distinct(F.array(F.coalesce("project_type", F.lit("*")), F.lit("*")))))
-    lists = {c: F.transform(c, lambda k: normalize_text(k, False)).alias(f"__{c}") for c in ("positive_keywords", "negative_keywords")}
-    right = subscriptions.where("enabled").select(F.struct("*").alias("s"), *lists.values(), F.explode(F.when(F.coalesce(F.size("project_types"), F.lit(0)) > 0, F.col("project_types")).otherwise(F.array(F.lit("*")))).alias("__key"))
-    amount = representative_budget(F.col("budget_from"), F.col("budget_to"))
-    s = lambda c: F.col(f"s.{c}")
-    ok = lambda limit, test: limit.isNull() | F.coalesce(test, F.lit(False))
+    key = lambda kind, value: F.concat(F.lit(f"{kind}:"), value.cast("string"))
+    band = lambda score: F.greatest(F.lit(0), F.least(F.lit(10), F.floor(F.coalesce(score, F.lit(0)) / 10))).cast("int")
+    currency = F.upper("budget_currency")
+    left = orders.select(
+        "order_id", "source_id", "project_type", "relevance_score", currency.alias("currency"), representative_budget(F.col("budget_from"), F.col("budget_to")).cast(MONEY).alias("amount"), F.unix_seconds("published_at").alias("at"), text.alias("text"),
+    )
+    own = F.concat(F.array(key("source", F.col("source_id")), key("type", F.col("project_type")), key("currency", F.col("currency"))), F.transform(F.sequence(F.lit(0), band(F.col("relevance_score"))), lambda b: key("band", b)))
+    left = left.withColumn("key", F.explode(F.filter(own, lambda k: k.isNotNull())))
+    subs = _limits(subscriptions)
+    listed = lambda kind, c: F.transform(c, lambda v: key(kind, v))
+    under = (
+        F.when(F.size("sources") > 0, listed("source", F.col("sources"))).when(F.size("types") > 0, listed("type", F.col("types")))
+        .when(F.size("currencies_") > 0, listed("currency", F.col("currencies_"))).otherwise(F.array(key("band", band(F.col("s.min_relevance_score")))))
+    )
+    few = subscriptions.count() <= FEW
+    right = subs.select("user", "rank", *LISTS, *[F.col(f"s.{c}").alias(c) for c in ("min_relevance_score", "freshness_days")], *[F.col(f"s.{c}").cast(MONEY).alias(c) for c in ("budget_min", "budget_max")], F.explode(under).alias("key"))
+    ok = lambda limit, test: F.col(limit).isNull() | F.coalesce(test, F.lit(False))
     fits = (
-        ok(s("min_relevance_score"), F.col("relevance_score") >= s("min_relevance_score")) & _listed(s("source_ids"), F.col("source_id"))
-        & _listed(F.transform(s("currencies"), F.upper), F.upper("budget_currency")) & ok(s("budget_min"), amount >= s("budget_min")) & ok(s("budget_max"), amount <= s("budget_max"))
-        & ok(s("freshness_days"), F.unix_seconds("published_at") >= F.unix_seconds(as_of) - s("freshness_days") * 86400)
-        & ~keyword_hit(F.col("__text"), F.col("__negative_keywords")) & ((F.coalesce(F.size("__positive_keywords"), F.lit(0)) <= 0) | keyword_hit(F.col("__text"), F.col("__positive_keywords")))
+        ok("min_relevance_score", left["relevance_score"] >= F.col("min_relevance_score")) & ok("budget_min", F.col("amount") >= F.col("budget_min")) & ok("budget_max", F.col("amount") <= F.col("budget_max"))
+        & ok("freshness_days", F.col("at") >= F.unix_seconds(as_of) - F.col("freshness_days") * 86400)
+        & _listed(F.col("types"), F.col("project_type")) & _listed(F.col("sources"), F.col("source_id")) & _listed(F.col("currencies_"), F.col("currency"))
+        & ~keyword_hit(F.col("text"), F.col("no")) & ((F.size("yes") <= 0) | keyword_hit(F.col("text"), F.col("yes")))
     )
-    met = left.join(right, "__key").where(fits).select(*orders.columns, F.col("s").alias("subscription"))
-    return first_by(met, ["order_id", "subscription.user_id"], [F.col("subscription.created_at"), F.col("subscription.subscription_id")])
+    first = left.join(F.broadcast(right) if few else right, "key").where(fits).groupBy("order_id", "user").agg(F.min("rank").alias("rank"))
+    named = subs.select("user", "rank", F.col("s").alias("subscription"))
+    return first.join(F.broadcast(named) if few else named, ["user", "rank"]).select("order_id", "subscription")
+
+
+def match_subscriptions(orders: DataFrame, subscriptions: DataFrame, as_of: Column, compose: bool = True) -> DataFrame:
+    """orders with `subscription`: a row for each order and user, with the earliest of the user's subscriptions that fits (see match_pairs)."""
+    return orders.join(match_pairs(orders, subscriptions, as_of, compose), "order_id").select(*orders.columns, "subscription")
 
 
 def sent_within(candidates: DataFrame, deliveries: DataFrame, minutes: str, as_of: Column) -> DataFrame:

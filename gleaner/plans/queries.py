@@ -7,7 +7,6 @@ Dictionaries and patterns are arguments of the operators; those here fit the tab
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -19,6 +18,7 @@ from gleaner.functions import extract, rules, text
 from gleaner.operators import activity, dedup, ml, notify, orders, posts, semantic
 from gleaner.settings import DEFAULT, Settings
 from gleaner.sources import merge
+from gleaner.sources.scratch import shared_dir
 from gleaner.streaming import posts as streams
 
 AS_OF = "2024-01-31 00:00:00"
@@ -186,8 +186,8 @@ def canonical_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subscription_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Orders against a subscription for each tenth customer, as its SQL has it; subscription_matches_all takes every customer."""
-    users = _table(spark, d, "customer").where("c_custkey % 10 = 0")
+    """Orders against a subscription for each customer, every twentieth of which names a project type."""
+    users = _table(spark, d, "customer")
     empty = F.array().cast("array<string>")
     subs = users.select(
         F.col("c_custkey").alias("subscription_id"), (F.col("c_custkey") % 50).alias("user_id"), F.lit(AS_OF).cast("timestamp").alias("created_at"), F.lit(True).alias("enabled"), (F.col("c_custkey") % 100).cast("int").alias("min_relevance_score"),
@@ -195,7 +195,7 @@ def subscription_matches(spark: SparkSession, d: str) -> DataFrame:
         F.array(F.lit("usd")).alias("currencies"), F.lit(None).cast("array<bigint>").alias("source_ids"), empty.alias("positive_keywords"), F.array(F.lit("for 7")).alias("negative_keywords"), F.lit(None).cast("int").alias("freshness_days"),
     )
     feed = _feed(spark, d).withColumn("normalized_text", F.lit(""))
-    met = notify.match_subscriptions(feed, subs, _as_of(), compose=False)
+    met = notify.match_pairs(feed, subs, _as_of(), compose=False)
     return met.select("order_id", F.col("subscription.user_id").alias("user_id"), F.col("subscription.subscription_id").alias("subscription_id"))
 
 
@@ -208,7 +208,7 @@ def subscription_matches_all(spark: SparkSession, d: str) -> DataFrame:
         (F.greatest(F.col("c_acctbal"), F.lit(0.0)) * 30).cast("decimal(14,2)").alias("budget_min"), F.lit(None).cast("decimal(14,2)").alias("budget_max"),
         F.array(F.lit("usd")).alias("currencies"), F.lit(None).cast("array<bigint>").alias("source_ids"), empty.alias("positive_keywords"), F.array(F.lit("for 7")).alias("negative_keywords"), F.lit(None).cast("int").alias("freshness_days"),
     )
-    met = notify.match_subscriptions(_feed(spark, d).withColumn("normalized_text", F.lit("")), subs, _as_of(), compose=False)
+    met = notify.match_pairs(_feed(spark, d).withColumn("normalized_text", F.lit("")), subs, _as_of(), compose=False)
     return met.select("order_id", F.col("subscription.user_id").alias("user_id"), F.col("subscription.subscription_id").alias("subscription_id"))
 
 
@@ -263,7 +263,7 @@ def streaming_dedup(spark: SparkSession, d: str) -> DataFrame:
     every = _table(spark, d, "events")
     source = spark.readStream.schema(every.schema).parquet(f"{d}/events.parquet*")
     twice = source.withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "event_type", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")).drop("n")
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-stream-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/gleaner-stream-{uuid.uuid4().hex}"
     kept = streams.drop_repeats(twice, ["event_id"], "ts", "1 day")
     kept.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("event_id long, ts timestamp, event_type string").parquet(f"{root}/out").groupBy("event_type").agg(F.count("*").alias("n"))
@@ -454,7 +454,7 @@ ORACLES = {
       SELECT outcome, CASE WHEN outcome = 'ok' THEN nxt ELSE status END AS new_status, count(*) AS n, sum(coalesce(CASE WHEN outcome = 'ok' THEN version + 1 ELSE version END, 0))::BIGINT AS versions FROM o GROUP BY 1, 2""",
     "stale_archive": f"WITH {_FEED}, a AS (SELECT *, published_at < TIMESTAMP '1997-01-01' AND status <> 'archived' AS old FROM feed) SELECT CASE WHEN old THEN 'archived' ELSE status END AS status, NOT old AS is_fresh, old AS archived_now, count(*) AS n FROM a GROUP BY 1, 2, 3",
     "canonical_orders": f"WITH {_FEED}, r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY published_at, relevance_score DESC, order_id) AS k, count(*) OVER (PARTITION BY source_id) AS size FROM feed) SELECT source_id, order_id AS canonical, size FROM r WHERE k = 1 AND size > 1",
-    "subscription_matches": f"""WITH {_FEED}, s AS (SELECT c_custkey AS sid, c_custkey % 50 AS uid, c_custkey % 100 AS least, c_custkey % 20 = 0 AS typed FROM customer WHERE c_custkey % 10 = 0)
+    "subscription_matches": f"""WITH {_FEED}, s AS (SELECT c_custkey AS sid, c_custkey % 50 AS uid, c_custkey % 100 AS least, c_custkey % 20 = 0 AS typed FROM customer)
       SELECT order_id, uid AS user_id, min(sid) AS subscription_id FROM feed JOIN s ON relevance_score >= least AND (NOT typed OR project_type = '1-URGENT') AND (budget_from + budget_to) / 2 >= 300000 AND NOT contains(lower(title || ' ' || summary), 'for 7') GROUP BY 1, 2""",
     "source_activity": """WITH s AS (SELECT DISTINCT user_id AS source_id FROM events), r AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-23'),
       m AS (SELECT user_id, count(*) AS msg_count, max(ts) AS last, count(DISTINCT ts::DATE) AS active_days, count(*) FILTER (WHERE value > 50) AS order_candidates, count(*) FILTER (WHERE event_type = 'click') AS spam, count(*) FILTER (WHERE event_type = 'purchase' AND value >= 60) AS relevant_orders, count(*) FILTER (WHERE event_type = 'purchase' AND event_id % 4 = 0) AS dup FROM r GROUP BY 1),
