@@ -22,6 +22,8 @@ from gleaner.sources.scratch import shared_dir
 from gleaner.streaming import posts as streams
 
 AS_OF = "2024-01-31 00:00:00"
+#: Fixed value: how many posts of a source a collector takes in one run.
+BATCH = 500
 POSITIVE = [text.Rule("of the", "en", 5, "need"), text.Rule("and the", "en", 4, "need"), text.Rule("with", "en", 3, "need")]
 NEGATIVE = [text.Rule("license", "en", 5), text.Rule("free", "en", 4), text.Rule("by the", "en", 3)]
 FUZZY = [text.Rule("attion", "en"), text.Rule("ertion", "en")]
@@ -306,8 +308,8 @@ def _scanned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def incremental_scan(spark: SparkSession, d: str) -> DataFrame:
-    """The oldest 20 new posts of each source, as its SQL has it; incremental_scan_all takes every new post."""
-    return merge.incremental_scan(*_scanned(spark, d), _as_of(), cap=20)
+    """The oldest 500 new posts of each source, a collector's batch; incremental_scan_all takes every new post."""
+    return merge.incremental_scan(*_scanned(spark, d), _as_of(), cap=BATCH)
 
 
 def incremental_scan_all(spark: SparkSession, d: str) -> DataFrame:
@@ -477,7 +479,10 @@ ORACLES = {
     "soft_deletes": "WITH a AS (SELECT source AS source_id, doc_id % 11 = 0 AS del, doc_id % 4 = 2 AS miss FROM documents) SELECT source_id, CASE WHEN miss AND NOT del THEN 'deleted' ELSE 'kept' END AS action, count(*) AS n, count(*) FILTER (WHERE miss OR del) AS deleted FROM a GROUP BY 1, 2",
     "high_water": "WITH a AS (SELECT source AS source_id, min(doc_id) + 300 AS seen, max(CASE WHEN doc_id % 2 = 0 AND source <> 'src1' THEN doc_id END) AS top FROM documents GROUP BY 1) SELECT source_id, greatest(seen, top) AS last_seen_message_id, top IS NOT NULL AS checked FROM a",
     "incremental_scan": f"""WITH a AS (SELECT source AS source_id, doc_id AS id, TIMESTAMP '2024-01-01' + to_hours((doc_id % 720)::INT) AS date, CASE WHEN source = 'src0' THEN 100 ELSE 0 END AS seen FROM documents),
-      b AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS k FROM a WHERE id > seen AND (seen > 0 OR date >= TIMESTAMP '{AS_OF}' - INTERVAL 8 DAY)) SELECT source_id, id, date FROM b WHERE k <= 20""",
+      b AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id) AS k FROM a WHERE id > seen AND (seen > 0 OR date >= TIMESTAMP '{AS_OF}' - INTERVAL 8 DAY)) SELECT source_id, id, date FROM b WHERE k <= {BATCH}""",
+    "incremental_scan_all": f"""WITH a AS (SELECT source AS source_id, doc_id AS id, TIMESTAMP '2024-01-01' + to_hours((doc_id % 720)::INT) AS date, CASE WHEN source = 'src0' THEN 100 ELSE 0 END AS seen FROM documents)
+      SELECT source_id, id, date FROM a WHERE id > seen AND (seen > 0 OR date >= TIMESTAMP '{AS_OF}' - INTERVAL 8 DAY)""",
+    "shard_assignment": "SELECT list_reduce(list_prepend(0, [strpos('0123456789abcdef', x) - 1 FOR x IN string_split(sha256(source), '')]), lambda s, x: (s * 16 + x) % 7)::INT AS shard, source, count(*) AS posts FROM documents GROUP BY 1, 2",
     "constraint_violations": "SELECT 'text_present' AS rule, count(*) FILTER (WHERE text IS NULL) AS violations FROM documents UNION ALL SELECT 'chars_match', count(*) FILTER (WHERE length(text) <> n_chars) FROM documents UNION ALL SELECT 'known_lang', count(*) FILTER (WHERE lang NOT IN ('en', 'fr', 'de')) FROM documents UNION ALL SELECT 'short', count(*) FILTER (WHERE n_chars > 5000) FROM documents UNION ALL SELECT 'unique_id', count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'unique_text', count(*) FROM (SELECT text FROM documents GROUP BY 1 HAVING count(*) > 1)",
     "vector_topk": "WITH p AS (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other)::INT AS rank FROM p) SELECT vec_id, other, rank, round(s, 4) AS similarity FROM r WHERE rank <= 3",
     "semantic_pairs": "WITH p AS (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT vec_id, other, CASE WHEN s >= 0.9 THEN 'auto_merge' ELSE 'manual_review' END AS outcome FROM p WHERE s >= 0.82",
