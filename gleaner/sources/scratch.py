@@ -26,6 +26,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that stored() gave and that no frame still to be computed reads, so that a long job's disk holds only what it needs."""
+    for table in tables:
+        jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getName().startswith("gleaner-"):
+                path.getFileSystem(conf).delete(path, True)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete all scratch tables of the shared folder, once their results have been read; returns how many there were."""
     jvm = spark.sparkContext._jvm
