@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.sources.scratch import stored
+from gleaner.sources.scratch import dropped, stored
 
 #: Rows in a batch of texts that goes to a Python worker.
 BATCH_ROWS = "1000"
@@ -26,6 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Write a frame once as a Parquet table in the shared folder and read it back: later jobs reuse it, and a lost executor costs no recomputation.
 stash = stored
+#: Delete stashed tables whose last reader is done.
+unstash = dropped
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stash
+from gleaner.llm.common import stash, unstash
 
 MAX_ROUNDS = 60
 #: A node is a hub if it holds more than one edge in so many, and at least FEW_EDGES.
@@ -31,15 +31,23 @@ def _with_minima(pairs: DataFrame, least: DataFrame, limit: int) -> DataFrame:
 
 
 def _large_star(edges: DataFrame, limit: int) -> DataFrame:
+    """The starred edges, stored; the table of edges goes."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_minima(both, _minima(both), limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _minima(both)
+    starred = stash(_with_minima(both, least, limit).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "starred")
+    unstash(edges, least)
+    return starred
 
 
 def _small_star(edges: DataFrame, limit: int) -> DataFrame:
+    """The starred edges without repeats, stored; the table of edges goes."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = _minima(down)
     met = _with_minima(down, least, limit).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return met.unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v")))
+    every = met.unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v")))
+    starred = stash(every.where("u <> v").distinct(), "edges")
+    unstash(edges, least)
+    return starred
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -53,8 +61,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         limit = max(FEW_EDGES, before[0] // SHARE)
         # the large star hands the small star no more edges than it got, so one limit bounds the hubs of both
-        starred = stash(_large_star(now, limit), "starred")
-        now = stash(_small_star(starred, limit).where("u <> v").distinct(), "edges")
+        now = _small_star(_large_star(now, limit), limit)
         after = sign(now)
         if after == before:
             break

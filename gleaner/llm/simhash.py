@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import small_batches, stash
+from gleaner.llm.common import small_batches, stash, unstash
 from gleaner.llm.components import components
 
 RADIUS = 3
@@ -155,8 +155,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     roots = components(links(classes))
     named = classes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = stash(named.join(least, "root").select("fp", "component"), "named")
-    return marked.join(classes, "fp").select(F.col("key").alias(key), "fp", "component")
+    found = stash(named.join(least, "root").select("fp", "component"), "named")
+    unstash(classes, roots)
+    return marked.join(found, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
