@@ -107,6 +107,8 @@ def evaluate(df: DataFrame, labels: list[str], label: str = "label", predicted:
 
 
 def summary_metrics(per_class: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(accuracy, macro_f1, weighted_f1) from evaluate() and confusion()."""
+    """One row from evaluate() and confusion(): accuracy, and the plain and the support-weighted mean of precision, recall and f1."""
     acc = pairs.agg((F.sum(F.when(F.col("label") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy")).withColumn("one", F.lit(1))
-    return per_class.agg(F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1")).withColumn("one", F.lit(1)).join(acc, "one").drop("one")
+    names = ("precision", "recall", "f1")
+    means = [F.avg(c).alias(f"macro_{c}") for c in names] + [(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"weighted_{c}") for c in names]
+    return per_class.agg(*means).withColumn("one", F.lit(1)).join(acc, "one").drop("one")

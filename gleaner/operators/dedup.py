@@ -78,6 +78,18 @@ def regroup(deduplicated: DataFrame, overrides: DataFrame) -> tuple[DataFrame, D
     return out.drop("__group", "__canonical", "__set"), audit
 
 
+def set_canonical(deduplicated: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each chosen(order_id) becomes the canonical order of its group (the least, if a group has several); returns the orders and an audit row for each group.
+
+    A chosen order that is in no group changes nothing.
+    """
+    asked = deduplicated.where("duplicate_group_id is not null").join(chosen.select("order_id"), "order_id", "left_semi")
+    new = asked.groupBy("duplicate_group_id").agg(F.min("order_id").alias("__canonical"), F.min("canonical_order_id").alias("__before"))
+    audit = new.select(F.lit("order.set_canonical").alias("action"), F.lit("order").alias("entity"), F.col("__canonical").alias("entity_id"), F.to_json(F.struct(F.col("__before").alias("from"), F.col("__canonical").alias("to"))).alias("payload"))
+    out = deduplicated.join(new, "duplicate_group_id", "left").withColumn("canonical_order_id", F.coalesce("__canonical", "canonical_order_id"))
+    return out.select(*deduplicated.columns), audit
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

@@ -9,6 +9,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.sources.merge import insert_missing
+
 #: From which status an order may go to which.
 TRANSITIONS = {"new": ["viewed", "contacted", "irrelevant", "archived"], "viewed": ["contacted", "irrelevant", "archived"], "contacted": ["archived", "irrelevant"], "irrelevant": ["archived"], "archived": []}
 EXPORT = ["order_id", "published_at", "status", "relevance_score", "project_type", "budget_from", "budget_to", "budget_currency", "title", "summary", "message_url"]
@@ -65,6 +67,21 @@ def with_message(orders: DataFrame, messages: DataFrame) -> DataFrame:
     return orders.join(messages.select("message_id", "message_url"), "message_id")
 
 
+def order_details(orders: DataFrame, messages: DataFrame, sources: DataFrame, groups: DataFrame) -> DataFrame:
+    """Orders with their post's url, their source's columns and, if they are in a group, the group's."""
+    return with_message(orders, messages).join(sources, "source_id").join(groups, "duplicate_group_id", "left")
+
+
+def add_favourites(favourites: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all, added): favourites(user_id, order_id, created_at); one that is there already stays as it is."""
+    return insert_missing(favourites, new, ["user_id", "order_id"])
+
+
+def list_favourites(favourites: DataFrame, orders: DataFrame) -> DataFrame:
+    """Favourites with their order's columns, newest first; those whose order is gone drop out."""
+    return favourites.join(orders, "order_id").orderBy(F.desc("created_at"), "user_id", "order_id")
+
+
 def order_payload(orders: DataFrame) -> DataFrame:
     return orders.drop("duplicate_fingerprint")
 

@@ -57,6 +57,13 @@ def embed_orders(orders: DataFrame, embed: Callable[[pd.Series], pd.Series] | No
     return orders.withColumn("embedding", F.coalesce("embedding", F.get(F.filter(F.array(made), lambda v: F.size(v) == dimension), F.lit(0))))
 
 
+def embedding_backlog(orders: DataFrame, batch: int | None = None) -> DataFrame:
+    """Canonical orders without an embedding, newest first; all of them, or a batch."""
+    canonical = F.col("canonical_order_id").isNull() | (F.col("canonical_order_id") == F.col("order_id"))
+    out = orders.where(F.col("embedding").isNull() & canonical).orderBy(F.desc("published_at"), "order_id")
+    return out if batch is None else out.limit(batch)
+
+
 def parse_vector(value: Column) -> Column:
     inner = F.regexp_replace(F.trim(value), r"^\[+|\]+$", "")
     return F.when(inner == "", F.array().cast("array<float>")).otherwise(F.split(inner, ",").cast("array<float>"))
