@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from gleaner.settings import DEFAULT, Settings
 #: Words of performers and spam that bar a semantic merge.
 NEGATIVE_MARKERS = r"(?U)\b(выполню|портфолио|резюме|ищу работу|казино|ставки)\b"
 
+#: Vectors of a block that are scored against as many others at a time.
+CHUNK = 1024
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -97,16 +101,50 @@ def contradiction(a: str, b: str) -> Column:
     return out
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, block: str, least: float | None = None, most: int | None = None) -> DataFrame:
+def _compared(key: str, least: float | None, most: int | None) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Scores one chunk against another; sums run in the order of `dot`, so equal vectors have equal scores in any chunk."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({key: a["__key"][:0], "other": a["__key"][:0], "similarity": np.zeros(0)})]
+        if len(a) and len(b):
+            b = b.sort_values("__key", kind="stable")  # among equal scores the least key comes first
+            w, norms, others = np.stack(b["__v"]).T.copy(), b["__norm"].to_numpy(), b["__key"].to_numpy()
+            for at in range(0, len(a), 64):
+                part = a.iloc[at : at + 64]
+                v, keys = np.stack(part["__v"]), part["__key"].to_numpy()
+                scores = np.zeros((len(part), len(b)))
+                for i in range(w.shape[0]):
+                    scores += v[:, i, None] * w[i]
+                scores /= part["__norm"].to_numpy()[:, None] * norms
+                scores[(keys[:, None] == others) | ~(scores >= (-np.inf if least is None else least))] = -np.inf
+                columns = np.argsort(-scores, axis=1, kind="stable")[:, :most] if most else np.broadcast_to(np.arange(len(b)), scores.shape)
+                rows = np.broadcast_to(np.arange(len(part))[:, None], columns.shape)
+                fits = scores[rows, columns] > -np.inf
+                rows, columns = rows[fits], columns[fits]
+                found.append(pd.DataFrame({key: keys[rows], "other": others[columns], "similarity": scores[rows, columns]}))
+        return pd.concat(found[1:] or found)
+
+    return run
+
+
+def similar_pairs(vectors: DataFrame, key: str, vector: str, block: str, least: float | None = None, most: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """(key, other, similarity): pairs within a block, optionally of at least a similarity, or the `most` nearest of each.
 
-    A block is an equality key (say type and week); nothing is compared across blocks.
+    A block is an equality key (say type and week); nothing is compared across blocks.  A block is dealt into chunks of
+    about `chunk` vectors, and a task scores two chunks at a time, so a hot block is no one task's work; of `most` only
+    so many candidates leave a pair of chunks.  Rows with a null key or block take no part, nor do vectors that are null,
+    zero or hold null or non-finite components; vectors of different lengths are not compared.
     """
-    left = vectors.select(F.col(block).alias("__block"), F.col(key).alias(key), F.col(vector).alias("__v"))
-    right = vectors.select(F.col(block).alias("__block"), F.col(key).alias("other"), F.col(vector).alias("__w"))
-    pairs = left.join(right, "__block").where(F.col(key) != F.col("other")).select(key, "other", cosine(F.col("__v"), F.col("__w")).alias("similarity"))
-    if least is not None:
-        pairs = pairs.where(F.col("similarity") >= least)
+    kind = dict(vectors.dtypes)[key]
+    rows = vectors.select(F.col(block).alias("__block"), F.col(key).alias("__key"), F.col(vector).cast("array<double>").alias("__v"))
+    rows = rows.where("__block is not null and __key is not null").withColumn("__norm", F.sqrt(dot(F.col("__v"), F.col("__v")))).where((F.col("__norm") > 0) & (F.col("__norm") < float("inf")))
+    rows, blocks = rows.withColumn("__size", F.size("__v")), ["__block", "__size"]
+    sizes = rows.groupBy(blocks).agg(F.ceil(F.count("*") / chunk).alias("__chunks"))
+    dealt = rows.join(sizes, blocks).withColumn("__own", F.pmod(F.xxhash64("__key"), F.col("__chunks"))).withColumn("__met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__chunks") - 1)))
+    # columns are named anew on each side, as both come from one table
+    anew = lambda **names: dealt.select(*[F.col(c).alias(n) for n, c in names.items()])
+    side = lambda i, j: anew(b=blocks[0], n=blocks[1], i=i, j=j, __key="__key", __v="__v", __norm="__norm").groupBy("b", "n", "i", "j")
+    pairs = side("__own", "__met").cogroup(side("__met", "__own")).applyInPandas(_compared(key, least, most), f"`{key}` {kind}, other {kind}, similarity double")
     if most is not None:
         near = Window.partitionBy(key).orderBy(F.desc("similarity"), "other")
         pairs = pairs.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= most)
