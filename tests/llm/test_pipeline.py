@@ -54,6 +54,19 @@ def test_odd_rows_go_through_every_stage(spark):
             docs.collect()
 
 
+def test_nulls_ties_and_repeats_have_defined_results(spark):
+    same = "one two three four five six seven eight"
+    rows = [(1, same, "a"), (1, same, "a"), (2, same, "b"), (3, None, "a"), (4, "", "a"), (None, same, None), (6, "secret = abcdef99 tail", "a")]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t or "")) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda found: sorted(found, key=str)
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, D).collect()]
+    assert key(kept) == key([1, 1, 3, 6, None])
+    masked = {(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.without_secrets(spark, docs, D).collect()}
+    assert masked == {(1, same, 39), (2, same, 39), (3, None, None), (4, "", 0), (None, same, 39), (6, "<secret> tail", 13)}
+    ids = [(r.doc_id, r.n_tokens > 0) for r in corpus_pipeline.encoded(spark, docs, D).collect()]
+    assert key(ids) == key([(1, True), (1, True), (2, True), (3, False), (4, False), (None, True), (6, True)])
+
+
 def test_entry_survives_without_this_subpackage(monkeypatch):
     import sys
 
