@@ -34,6 +34,12 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def finite(vector: str) -> Column:
+    """True for vectors that are not null and hold no null and no non-finite component."""
+    each = F.forall(F.col(vector).cast("array<double>"), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    return F.coalesce(each, F.lit(False))
+
+
 def held_out(mod: int, rest: int, key: str = "doc_id") -> Column:
     """True where crc32 of the key as text leaves that remainder; a null key is never held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % mod == rest, F.lit(False))
