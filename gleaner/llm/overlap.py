@@ -11,10 +11,15 @@ each distinct one emits all variants within half the radius of 2 bits.  Texts me
    whatever the corpus's size, and those that share a passage are told apart by the fingerprint.
 3. Each class is held against the least class that it meets anywhere; most groups are joined by that.  Then, in each
    bucket (anchors and variant) that still holds several components, all pairs across them are compared if it has up to
-   SMALL classes; in a larger one each class meets LEADERS drawn ones.  Large buckets in which that linked something are
-   taken again with others drawn, until a turn links nothing.  A bucket never gives all pairs of a large group.
-4. Candidates whose whole SimHashes (2 x 64 bits) differ in over FAR bits make no pair: at 0.8 that is four standard
-   deviations away.  Every other pair is verified by the true overlap of its shingle sets, in whole numbers.
+   SMALL classes.  Candidates whose whole SimHashes (2 x 64 bits) differ in over FAR bits make no pair: at 0.8 that is
+   four standard deviations away.
+4. Classes of larger buckets that are still open, so texts that share much with very many others, are opened by their
+   rarest shingles, and exactly: with the shingles of each set in the order of their frequency among these classes, two
+   sets that overlap enough share a shingle before either has too few left (9 x min(left) >= 4 x (sizes together)).  What
+   all share stands last and opens nothing, unless the texts are near copies indeed; of these, each is first held against
+   the one that stands nearest to the core at any of its shingles, and of the pairs across components that remain, only
+   those with a class outside the shingle's commonest component are made.  There is no draw and no repetition.
+5. Every pair is verified by the true overlap of its shingle sets, in whole numbers.
 
 Components of verified pairs are the groups.  Texts without words are one class.  A text of fewer words than a
 shingle is one shingle.  Documents with a null key are in no group.  Repeated rows, ties and clashing columns do no
@@ -39,8 +44,8 @@ WIDTH, PARTS, BITS, RADIUS = 5, 10, 12, 2
 LEAST = (4, 5)
 #: Most of 128 bits that texts at that similarity differ in (19.4 on average, with a standard deviation of 4.1).
 FAR = 38
-#: Buckets of up to so many classes are compared pair by pair; in larger ones each class meets LEADERS others a round.
-SMALL, LEADERS = 32, 4
+#: Buckets of up to so many classes are compared pair by pair; larger ones are opened by rare shingles.
+SMALL = 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, 2 * PARTS + 1, np.uint64)
 
@@ -159,21 +164,61 @@ def _open(balls: DataFrame, members: DataFrame, rooted: DataFrame) -> DataFrame:
     return balls.join(several.select("bucket", "n"), "bucket").join(members, "cell").select("bucket", "fp", "n")
 
 
-def _still_open(members: DataFrame, rooted: DataFrame) -> DataFrame:
-    """(bucket, fp) of the buckets of members(bucket, fp) that hold several components and in which the last step linked something."""
-    told = members.join(rooted.select("fp", "root", "changed"), "fp").select("bucket", "fp", "root", "changed")
-    several = told.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("changed").alias("changed")).where("lo < hi and changed")
-    return told.select("bucket", "fp").join(several.select("bucket", "n"), "bucket")
+def _pairs_inside(members: DataFrame, rooted: DataFrame) -> DataFrame:
+    """All pairs across components in the small buckets of members(bucket, fp, n)."""
+    told = members.where(F.col("n") <= SMALL).join(rooted, "fp").select("bucket", F.struct("fp", "root", "a", "b").alias("c"))
+    small = told.groupBy("bucket").agg(F.collect_list("c").alias("every"))
+    return _crossing(small.select("every", F.explode("every").alias("c")), "every")
 
 
-def _pairs_inside(members: DataFrame, rooted: DataFrame, turn: int) -> DataFrame:
-    """Pairs across components in the buckets of members(bucket, fp, n): all in small buckets, with LEADERS drawn classes in larger ones."""
-    told = members.join(rooted, "fp").select("bucket", "n", F.struct("fp", "root", "a", "b").alias("c"))
-    small = told.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.collect_list("c").alias("every"))
-    large = told.where(F.col("n") > SMALL)
-    drawn = [F.min(F.struct(F.xxhash64("c.fp", F.lit(turn * LEADERS + i)).alias("h"), F.col("c").alias("c")))["c"] for i in range(LEADERS)]
-    leaders = large.groupBy("bucket").agg(F.array(*drawn).alias("leaders"))
-    return _crossing(small.select("every", F.explode("every").alias("c")), "every").unionByName(_crossing(large.join(leaders, "bucket"), "leaders")).distinct()
+def _hard(members: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(fp) of the classes in large buckets of members(bucket, fp, n) that hold several components."""
+    told = members.where(F.col("n") > SMALL).join(rooted.select("fp", "root"), "fp").select("bucket", "fp", "root")
+    several = told.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    return told.join(several, "bucket").select("fp").distinct()
+
+
+def first_shingles(sets: DataFrame) -> DataFrame:
+    """(shingle, fp, size, left): of each set(fp, shingles) the shingles, the rarest first, as far as another set that overlaps enough may share none before.
+
+    left counts the shingle at hand and those after it; it is never under LEAST of the size.
+    """
+    top, of = LEAST
+    each = sets.select("fp", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "shingle").groupBy("fp", "size").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("every"))
+    # to overlap with a fitting set, at least this share of the own shingles must be left
+    first = ranked.withColumn("every", F.slice("every", F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(top) / of).cast("int") + 1))
+    told = first.select("fp", "size", F.posexplode("every").alias("pos", "x"))
+    return told.where("x.often > 1").select("x.shingle", "fp", "size", (F.col("size") - F.col("pos")).alias("left"))
+
+
+def _fits(x: str, y: str) -> str:
+    """Whether sets of such sizes can overlap enough if the shingle at hand is the first that they share."""
+    top, of = LEAST
+    sizes = f"least({x}.size, {y}.size) * {of} >= greatest({x}.size, {y}.size) * {top}"
+    return f"{x}.root <> {y}.root and {sizes} and least({x}.left, {y}.left) * {top + of} >= ({x}.size + {y}.size) * {top}"
+
+
+def _with_roots(entries: DataFrame, rooted: DataFrame) -> DataFrame:
+    told = entries.join(rooted.select("fp", "root"), "fp")
+    several = told.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
+    return told.join(several, "shingle").select("shingle", F.struct("fp", "root", "size", "left").alias("c"))
+
+
+def _pairs_with_core(entries: DataFrame, rooted: DataFrame) -> DataFrame:
+    """At each shingle, pairs with the class in which it stands first: that with the fewest shingles of its own."""
+    told = _with_roots(entries, rooted)
+    core = told.groupBy("shingle").agg(F.min_by("c", F.struct(F.col("c.size") - F.col("c.left"), "c.fp")).alias("core"))
+    return _ordered(told.join(core, "shingle").where(_fits("c", "core")).select(F.col("c.fp").alias("u"), F.col("core.fp").alias("v")))
+
+
+def _pairs_outside(entries: DataFrame, rooted: DataFrame) -> DataFrame:
+    """At each shingle, pairs across components; one of a pair is not of the component that holds most of the shingle's classes."""
+    told = _with_roots(entries, rooted)
+    most = told.groupBy("shingle", "c.root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    minor = told.join(most, "shingle").where("c.root <> most").select("shingle", F.col("c").alias("m"))
+    return _ordered(minor.join(told, "shingle").where(_fits("m", "c")).select(F.col("m.fp").alias("u"), F.col("c.fp").alias("v")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,35 +234,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     stars = stash(members.groupBy("fp").agg(F.min("lo").alias("lo")), "stars")
     sets = stash(sets_of(docs, classes.select("fp", "least").join(stars.select("fp"), "fp", "left_semi"), key, text), "sets")
 
-    rooted = classes.select("fp", F.col("fp").alias("root"), "a", "b", F.lit(False).alias("changed"))
-    rooted, _ = _merged(rooted, verified(_ordered(stars.select(F.col("lo").alias("u"), F.col("fp").alias("v"))), sets))
+    rooted = classes.select("fp", F.col("fp").alias("root"), "a", "b")
+    rooted = _merged(rooted, verified(_ordered(stars.select(F.col("lo").alias("u"), F.col("fp").alias("v"))), sets))
     inside = stash(_open(balls.select("bucket", "cell"), members.select("fp", "cell"), rooted), "open")
     unstash(cells, balls, members, stars)
-    rooted, linked = _merged(rooted, verified(_pairs_inside(inside, rooted, 0), sets))
-    turn, large = 1, inside.where(F.col("n") > SMALL).drop("n")
-    while linked:
-        before, inside = inside, stash(_still_open(large, rooted), "open")
-        unstash(before)
-        rooted, linked = _merged(rooted, verified(_pairs_inside(inside, rooted, turn), sets))
-        turn, large = turn + 1, inside.drop("n")
-    unstash(inside, sets)
+    rooted = _merged(rooted, verified(_pairs_inside(inside, rooted), sets))
+    hard = stash(_hard(inside, rooted), "hard")
+    if not hard.isEmpty():
+        entries = stash(first_shingles(sets.join(hard, "fp", "left_semi")), "first")
+        for pairs in (_pairs_with_core, _pairs_outside):
+            rooted = _merged(rooted, verified(pairs(entries, rooted), sets))
+        unstash(entries)
+    unstash(inside, sets, hard)
     named = classes.select("fp", "least").join(rooted.select("fp", "root"), "fp")
     return named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "least", "component")
 
 
-def _merged(rooted: DataFrame, found: DataFrame) -> tuple[DataFrame, bool]:
-    """rooted(fp, root, a, b, changed) with the components that the links (u, v) found join made one, and whether there was any."""
+def _merged(rooted: DataFrame, found: DataFrame) -> DataFrame:
+    """rooted(fp, root, a, b) with the components that the links (u, v) found join made one."""
     found = stash(found, "links")
     if found.isEmpty():
         unstash(found)
-        return rooted, False
+        return rooted
     root = lambda side: rooted.select(F.col("fp").alias(side), F.col("root").alias(f"r{side}"))
     ends = found.join(root("u"), "u").join(root("v"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     new = components(ends).select(F.col("u").alias("root"), F.col("root").alias("new"))
-    out = rooted.drop("changed").join(new, "root", "left").select("fp", F.coalesce("new", "root").alias("root"), "a", "b", F.col("new").isNotNull().alias("changed"))
-    out = stash(out, "rooted")
+    out = stash(rooted.join(new, "root", "left").select("fp", F.coalesce("new", "root").alias("root"), "a", "b"), "rooted")
     unstash(found, new)
-    return out, True
+    return out
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
