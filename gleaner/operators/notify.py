@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import normalize_text
 from gleaner.operators.semantic import representative_budget
+from gleaner.sources.scratch import dropped, stored
 
+#: Candidates that one task decides one after the other, about.
+PART = 1 << 18
 
 #: Up to so many subscriptions are broadcast to the orders; more are shuffled by key.
 FEW = 20_000
@@ -133,29 +139,72 @@ def recipients(users: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     return active.join(allowed, "tg_chat_id", "left_semi").select("user_id", "tg_chat_id").unionByName(new)
 
 
-def admit(candidates: DataFrame) -> DataFrame:
-    """Decide in order (published_at, order_id) for each user: each send counts for the next decision.
+def _folded(rows: pd.DataFrame) -> pd.DataFrame:
+    """Decisions over the rows of one part, whose users come in with what they were sent in earlier parts."""
+    rows = rows.sort_values(["user_id", "published_at", "order_id"], kind="stable")
+    user, sent, prints, decided = None, 0, set(), []
+    columns = ("user_id", "duplicate_fingerprint", "left", "cooldown", "similar_before", "quiet", "sent_before", "print_before")
+    for u, mark, left, cooldown, similar, quiet, before, seen in zip(*[rows[c] for c in columns], strict=True):
+        if u != user:
+            user, sent, prints = u, before, set()
+        if not pd.isna(left) and sent >= left:
+            decided.append("rate_limited")
+        elif similar or (cooldown and (seen or mark in prints)):
+            decided.append("similar_recently")
+        elif quiet:
+            decided.append("deferred")
+        else:
+            decided.append("send")
+            sent += 1
+            if mark is not None:
+                prints.add(mark)
+    return pd.DataFrame({"user_id": rows["user_id"], "order_id": rows["order_id"], "duplicate_fingerprint": rows["duplicate_fingerprint"], "decision": decided})
+
+
+def admit(candidates: DataFrame, part: int = PART) -> DataFrame:
+    """(user_id, order_id, decision): decided in order (published_at, order_id) for each user; each send counts for the next decision.
 
     candidates: user_id, order_id, published_at, duplicate_fingerprint, recent (sent before), most (null: no limit),
-    cooldown (boolean: a similar order may not follow), similar_before (boolean).  A fold over each user's candidates
-    of one run; these are few for a user, whatever the feed's size.
+    cooldown (boolean: a similar order may not follow), similar_before (boolean) and, if given, quiet (what passes is
+    deferred and doesn't count as sent).
+
+    The candidates are sorted into parts of about `part` rows and each part is folded row by row, in time that grows
+    with its rows.  A user whose candidates fill several parts is taken up part after part: how many orders were sent
+    and which fingerprints they had are handed on as tables.  All users' n-th parts are decided at once.
     """
-    item = F.struct("published_at", "order_id", "duplicate_fingerprint", "recent", "most", "cooldown", "similar_before")
-    users = candidates.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    state = "named_struct('sent', 0, 'prints', cast(array() as array<string>), 'out', cast(array() as array<struct<order_id:string,decision:string>>))"
-    limited = "x.most is not null and x.recent + s.sent >= x.most"
-    similar = "x.similar_before or (x.cooldown and array_contains(s.prints, x.duplicate_fingerprint))"
-    step = f"""(s, x) -> case when {limited} then named_struct('sent', s.sent, 'prints', s.prints, 'out', array_append(s.out, named_struct('order_id', x.order_id, 'decision', 'rate_limited')))
-        when {similar} then named_struct('sent', s.sent, 'prints', s.prints, 'out', array_append(s.out, named_struct('order_id', x.order_id, 'decision', 'similar_recently')))
-        else named_struct('sent', s.sent + 1, 'prints', array_append(s.prints, x.duplicate_fingerprint), 'out', array_append(s.out, named_struct('order_id', x.order_id, 'decision', 'send'))) end"""
-    return users.select("user_id", F.explode(F.expr(f"aggregate(items, {state}, {step}).out")).alias("o")).select("user_id", "o.order_id", "o.decision")
+    quiet = F.col("quiet") if "quiet" in candidates.columns else F.lit(False)
+    told = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    kept = stored(candidates.select("user_id", "order_id", "published_at", "duplicate_fingerprint", (F.col("most") - F.col("recent")).cast("long").alias("left"), told("cooldown"), told("similar_before"), F.coalesce(quiet, F.lit(False)).alias("quiet")), "candidates")
+    parts = max(1, -(-kept.count() // part))
+    rows = stored(kept.repartitionByRange(parts, "user_id", "published_at", "order_id").withColumn("part", F.spark_partition_id()), "candidates")
+    dropped(kept)
+    spans = rows.groupBy("user_id").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last")
+    spans = stored(spans, "spans")  # fewer users than parts, as each holds a border of two
+    rows = rows.join(F.broadcast(spans.select("user_id", "first")), "user_id", "left").withColumn("turn", F.coalesce(F.col("part") - F.col("first"), F.lit(0)))
+    kind = dict(candidates.dtypes)
+    schema = f"user_id {kind['user_id']}, order_id {kind['order_id']}, duplicate_fingerprint string, decision string"
+    done: list[DataFrame] = []
+    for turn in range(1 + (spans.agg(F.max(F.col("last") - F.col("first"))).first()[0] or 0)):
+        now = rows.where(F.col("turn") == turn)
+        if done:
+            sends = reduce(DataFrame.unionByName, done).where("decision = 'send'").join(F.broadcast(spans.select("user_id")), "user_id", "left_semi")
+            counts = sends.groupBy("user_id").agg(F.count("*").alias("sent_before"))
+            prints = sends.select("user_id", "duplicate_fingerprint", F.lit(True).alias("print_before")).where("duplicate_fingerprint is not null").distinct()
+            now = now.join(F.broadcast(counts), "user_id", "left").join(prints, ["user_id", "duplicate_fingerprint"], "left")
+            now = now.fillna({"sent_before": 0, "print_before": False})
+        else:
+            now = now.withColumns({"sent_before": F.lit(0).cast("long"), "print_before": F.lit(False)})
+        columns = ["user_id", "order_id", "published_at", "duplicate_fingerprint", "left", "cooldown", "similar_before", "quiet", "sent_before", "print_before", "part"]
+        done.append(stored(now.select(*columns).groupBy("part").applyInPandas(_folded, schema), "decided"))
+    return reduce(DataFrame.unionByName, done).drop("duplicate_fingerprint")
 
 
 def match_notifications(orders: DataFrame, subscriptions: DataFrame, users: DataFrame, deliveries: DataFrame, as_of: Column, channel: str = "telegram", compose: bool = True) -> DataFrame:
     """(order_id, user_id, subscription_id, decision, scheduled_for): send, rate_limited, similar_recently, or deferred to the end of quiet hours.
 
     orders are notifiable and carry duplicate_fingerprint; deliveries carry the fingerprint of their order.  Pairs
-    that already have a delivery by the channel are left out.
+    that already have a delivery by the channel are left out.  Limits and cooldowns are asked before quiet hours, so
+    what they hold back isn't deferred.
     """
     met = match_subscriptions(orders, subscriptions, as_of, compose)
     s = lambda c: F.col(f"subscription.{c}")
@@ -169,8 +218,9 @@ def match_notifications(orders: DataFrame, subscriptions: DataFrame, users: Data
     flat = sent_within(flat, deliveries, "period", as_of)
     similar = similar_sent(flat, deliveries, as_of).select("order_id", "user_id", F.lit(True).alias("similar_before"))
     flat = flat.join(similar, ["order_id", "user_id"], "left").withColumn("similar_before", F.coalesce("similar_before", F.lit(False))).withColumn("cooldown", F.col("similar_cooldown_minutes") > 0)
-    decided = admit(flat.where("scheduled_for is null"))
-    return flat.join(decided, ["order_id", "user_id"], "left").select("order_id", "user_id", "subscription_id", F.coalesce("decision", F.lit("deferred")).alias("decision"), "scheduled_for")
+    decided = admit(flat.withColumn("quiet", F.col("scheduled_for").isNotNull()))
+    told = flat.join(decided, ["order_id", "user_id"])
+    return told.select("order_id", "user_id", "subscription_id", "decision", F.when(F.col("decision") == "deferred", F.col("scheduled_for")).alias("scheduled_for"))
 
 
 def release_deferred(deliveries: DataFrame, notifiable_orders: DataFrame, users: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:

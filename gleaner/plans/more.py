@@ -184,6 +184,34 @@ def released_deliveries(spark: SparkSession, d: str) -> DataFrame:
     return notify.release_deferred(deliveries, good, users, _time("2024-01-20 00:00:00")).select("delivery_id", "decision")
 
 
+def admitted_deliveries(spark: SparkSession, d: str) -> DataFrame:
+    """Events as candidates for deliveries: users differ in limits and cooldowns, some candidates are similar to earlier ones or fall in quiet hours."""
+    e, n, u = _events(spark, d), F.col("event_id"), F.col("user_id")
+    rows = e.select(
+        "user_id", n.alias("order_id"), F.col("ts").alias("published_at"), F.concat(F.lit("f"), (n % 13).cast("string")).alias("duplicate_fingerprint"), (u % 3).alias("recent"),
+        F.when(u % 4 > 0, u % 7 + 5).alias("most"), (u % 5 > 0).alias("cooldown"), (n % 29 == 0).alias("similar_before"), (n % 31 == 0).alias("quiet"),
+    )
+    return notify.admit(rows)
+
+
+def notification_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders to the users who watch their customer; users share limits, cooldowns and quiet hours over all of their subscriptions."""
+    c, user = _table(spark, d, "customer"), F.col("c_custkey") % 300
+    empty, none = F.array().cast("array<string>"), lambda kind: F.lit(None).cast(kind)
+    subs = c.select(
+        F.col("c_custkey").alias("subscription_id"), user.alias("user_id"), _time("2024-01-01 00:00:00").alias("created_at"), F.lit(True).alias("enabled"), (F.col("c_custkey") % 50).cast("int").alias("min_relevance_score"),
+        empty.alias("project_types"), none("decimal(14,2)").alias("budget_min"), none("decimal(14,2)").alias("budget_max"), empty.alias("currencies"), F.array("c_custkey").alias("source_ids"), empty.alias("positive_keywords"), empty.alias("negative_keywords"),
+        F.when(user % 6 == 0, "13:30").alias("quiet_hours_start"), F.when(user % 6 == 0, "16:00").alias("quiet_hours_end"), F.lit("Europe/Moscow").alias("timezone"), none("int").alias("freshness_days"),
+        F.when(user % 4 > 0, user % 5 + 2).cast("int").alias("max_notifications_per_period"), ((user % 3 + 1) * 2880).cast("int").alias("rate_limit_period_minutes"), (user % 3 * 8640).cast("int").alias("similar_cooldown_minutes"),
+    )
+    n = F.col("event_id")
+    sent = _events(spark, d).where("event_type = 'purchase'").select((n % 5000).alias("order_id"), (F.col("user_id") % 300).alias("user_id"), F.lit("telegram").alias("channel"), F.lit("sent").alias("status"), F.col("ts").alias("sent_at"), F.concat(F.lit("f"), (n % 50).cast("string")).alias("duplicate_fingerprint"))
+    feed = _feed(spark, d).withColumns({"normalized_text": F.lit(""), "duplicate_fingerprint": F.concat(F.lit("f"), (F.col("order_id") % 600).cast("string"))})
+    users = c.select(user.alias("user_id")).where("user_id % 7 > 0").distinct()
+    told = notify.match_notifications(feed, subs, users, sent, _time("2024-01-30 12:00:00"), compose=False)
+    return told.withColumn("scheduled_for", F.col("scheduled_for").cast("string"))
+
+
 def checked_subscriptions(spark: SparkSession, d: str) -> DataFrame:
     k, empty = F.col("c_custkey"), F.array().cast("array<string>")
     at = lambda *values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
@@ -244,6 +272,18 @@ def semantic_matches(spark: SparkSession, d: str) -> DataFrame:
     return semantic.semantic_duplicates(_vectors(spark, d), LOOSE).select("order_id", "candidate_id", F.round("similarity", 4).alias("similarity"), "outcome")
 
 
+def semantic_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Orders after semantic merging: budgets of four sizes contradict each other in part, and every tenth order is an exact copy of the one before."""
+    k = F.col("order_id")
+    head, copy = k % 10 == 8, k % 10 == 9
+    rows = _vectors(spark, d).withColumns({
+        "budget_from": ((k % 4 + 1) * 100).cast("decimal(14,2)"), "canonical_order_id": F.when(head, k).when(copy, k - 1), "group_size": F.when(head | copy, F.lit(2).cast("long")),
+        "duplicate_group_id": F.when(head | copy, F.concat(F.lit("g"), (k - (k % 10 - 8)).cast("string"))), "method": F.when(head | copy, "fingerprint"),
+    })
+    merged, _ = semantic.merge_semantic(rows, LOOSE)
+    return merged.select("order_id", "duplicate_group_id", "canonical_order_id", "group_size", "method", "semantic_status", F.round("semantic_similarity", 4).alias("similarity"))
+
+
 def embedding_backlog(spark: SparkSession, d: str) -> DataFrame:
     """Canonical orders without a vector: those whose key is 0 or 1 modulo 4 have none, and every third is a copy."""
     n = F.col("order_id") % 4
@@ -290,6 +330,20 @@ ORACLES = {
     "recipients": """SELECT c_custkey::VARCHAR AS user_id, c_custkey AS tg_chat_id FROM customer WHERE c_acctbal > 0 AND c_nationkey <> 3 AND c_custkey % 2 = 0
         UNION ALL SELECT 'chat:' || x, x FROM (SELECT unnest([c_custkey, -c_custkey]) AS x FROM customer WHERE c_custkey % 2 = 0) WHERE x NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
     "released_deliveries": f"WITH {_FEED} SELECT event_id AS delivery_id, CASE WHEN user_id % 4 > 0 AND event_id % 5000 IN (SELECT order_id FROM feed WHERE relevance_score >= 50) THEN 'send' ELSE 'skipped' END AS decision FROM events WHERE event_type = 'view' AND ts <= TIMESTAMP '2024-01-20'",
+    "admitted_deliveries": """WITH e AS (SELECT user_id, event_id AS id, ts, event_id % 13 AS f, user_id % 3 AS recent, CASE WHEN user_id % 4 > 0 THEN user_id % 7 + 5 END AS most, user_id % 5 > 0 AS cooldown, event_id % 29 = 0 AS like_, event_id % 31 = 0 AS quiet FROM events),
+        s AS (SELECT *, like_ OR (cooldown AND coalesce(bool_or(NOT like_ AND NOT quiet) OVER (PARTITION BY user_id, f ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) AS held FROM e),
+        n AS (SELECT *, count(*) FILTER (WHERE NOT held AND NOT quiet) OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+        SELECT user_id, id AS order_id, CASE WHEN recent + before >= most THEN 'rate_limited' WHEN held THEN 'similar_recently' WHEN quiet THEN 'deferred' ELSE 'send' END AS decision FROM n""",
+    "notification_decisions": f"""WITH {_FEED}, sent AS (SELECT event_id % 5000 AS oid, user_id % 300 AS u, ts, event_id % 50 AS f FROM events WHERE event_type = 'purchase'),
+        m AS (SELECT order_id, published_at, order_id % 600 AS f, c_custkey AS sub, c_custkey % 300 AS u FROM feed JOIN customer ON c_custkey = source_id WHERE relevance_score >= c_custkey % 50 AND (c_custkey % 300) % 7 > 0),
+        r AS (SELECT u, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-30 12:00:00' - to_minutes((u % 3 + 1) * 2880)) AS recent FROM sent GROUP BY u),
+        w AS (SELECT m.*, CASE WHEN u % 4 > 0 THEN u % 5 + 2 END AS most, u % 3 > 0 AS cooldown, u % 6 = 0 AS quiet, coalesce(recent, 0) AS recent,
+            EXISTS (SELECT 1 FROM sent WHERE sent.u = m.u AND sent.f = m.f AND oid <> order_id AND ts >= TIMESTAMP '2024-01-30 12:00:00' - to_minutes((m.u % 3) * 8640)) AS like_
+            FROM m LEFT JOIN r USING (u) WHERE NOT EXISTS (SELECT 1 FROM sent WHERE oid = order_id AND sent.u = m.u)),
+        s AS (SELECT *, like_ OR (cooldown AND coalesce(bool_or(NOT like_ AND NOT quiet) OVER (PARTITION BY u, f ORDER BY published_at, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) AS held FROM w),
+        n AS (SELECT *, count(*) FILTER (WHERE NOT held AND NOT quiet) OVER (PARTITION BY u ORDER BY published_at, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
+        t AS (SELECT *, CASE WHEN recent + before >= most THEN 'rate_limited' WHEN held THEN 'similar_recently' WHEN quiet THEN 'deferred' ELSE 'send' END AS decision FROM n)
+        SELECT order_id, u AS user_id, sub AS subscription_id, decision, CASE WHEN decision = 'deferred' THEN '2024-01-30 13:00:00' END AS scheduled_for FROM t""",
     "checked_subscriptions": """SELECT c_custkey AS subscription_id, 'Site' AS types, 'USD' AS currencies, CASE WHEN c_custkey % 17 = 0 THEN 'source_ids' WHEN c_custkey % 4 = 2 THEN 'timezone' WHEN c_custkey % 6 = 3 OR c_custkey % 6 = 4 THEN 'quiet_hours_pair' WHEN c_custkey % 3 = 2 THEN 'quiet_hours_format'
         WHEN c_acctbal > 5000 THEN 'budget_range' WHEN c_custkey % 120 > 100 THEN 'min_relevance_score' END AS error FROM customer""",
     "outcome_counters": "SELECT 'semantic' AS metric, CASE WHEN value >= 100 THEN 'auto_merge' WHEN value >= 50 THEN 'review' WHEN value >= 1 THEN 'comparisons' ELSE 'unknown' END AS name, count(*) AS n FROM events GROUP BY 2",
@@ -303,6 +357,20 @@ ORACLES = {
         p AS (SELECT a.vec_id AS id, b.vec_id AS other, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id AND abs(a.h - b.h) <= 168 AND (a.t = b.t OR a.t IS NULL OR b.t IS NULL)),
         r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS k FROM p)
         SELECT v.vec_id AS order_id, other AS candidate_id, round(s, 4) AS similarity, CASE WHEN s >= 0.42 THEN 'auto_merge' WHEN s >= 0.34 THEN 'manual_review' ELSE 'no_match' END AS outcome FROM v LEFT JOIN r ON id = v.vec_id AND k = 1""",
+    "semantic_groups": """WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e, CASE WHEN label % 5 > 0 THEN label END AS t, vec_id % 720 AS h, (vec_id % 4 + 1) * 100.0 AS money,
+            CASE vec_id % 10 WHEN 8 THEN vec_id WHEN 9 THEN vec_id - 1 END AS head, CASE WHEN label % 5 > 0 THEN 0 ELSE 1 END AS lack, vec_id::VARCHAR AS name FROM embeddings),
+        p AS (SELECT a.id, b.id AS other, a.money AS m, b.money AS n, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.head IS NULL AND (b.head IS NULL OR b.head = b.id)
+            AND abs(a.h - b.h) <= 168 AND (a.t = b.t OR a.t IS NULL OR b.t IS NULL) AND (b.h, b.lack, b.name) < (a.h, a.lack, a.name)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS k FROM p),
+        best AS (SELECT id, arg_min(other, k) AS other, arg_min(s, k) AS s FROM r WHERE k <= 20 AND (greatest(m, n) - least(m, n)) / greatest(m, n) <= 0.35 GROUP BY id),
+        path AS (SELECT id, other AS goal FROM best WHERE s >= 0.42 UNION ALL SELECT path.id, best.other FROM path JOIN best ON best.id = path.goal AND best.s >= 0.42),
+        root AS (SELECT id, goal AS root FROM path WHERE goal NOT IN (SELECT id FROM best WHERE s >= 0.42)),
+        heads AS (SELECT root, CASE WHEN root % 10 = 8 THEN 'g' || root ELSE 'semantic:' || root END AS g, (CASE WHEN root % 10 = 8 THEN 2 ELSE 1 END + count(*))::BIGINT AS size FROM root GROUP BY root),
+        told AS (SELECT root.id, heads.* FROM root JOIN heads USING (root) UNION ALL SELECT root, root, g, size FROM heads),
+        grouped AS (SELECT v.id, coalesce('g' || v.head, g) AS gid, coalesce(v.head, told.root) AS canonical, CASE WHEN v.head IS NOT NULL THEN 'fingerprint' WHEN g IS NOT NULL THEN 'semantic' END AS method, v.head FROM v LEFT JOIN told ON told.id = v.id)
+        SELECT grouped.id AS order_id, gid AS duplicate_group_id, canonical AS canonical_order_id, coalesce(heads.size, CASE WHEN head IS NOT NULL THEN 2 END) AS group_size, method,
+            CASE WHEN head IS NOT NULL THEN NULL WHEN s >= 0.42 THEN 'auto_merge' WHEN s >= 0.34 THEN 'manual_review' ELSE 'no_match' END AS semantic_status, CASE WHEN head IS NULL THEN round(s, 4) END AS similarity
+        FROM grouped LEFT JOIN heads ON heads.g = gid LEFT JOIN best ON best.id = grouped.id""",
     "embedding_backlog": "SELECT vec_id AS order_id, TIMESTAMP '2024-01-01' + to_hours((vec_id % 720)::INT) AS published_at FROM embeddings WHERE vec_id % 4 <= 1 AND vec_id % 3 <> 1",
 }
 
