@@ -46,6 +46,8 @@ LEAST = (4, 5)
 FAR = 38
 #: Buckets of up to so many classes are compared pair by pair; larger ones are opened by rare shingles.
 SMALL = 32
+#: Shingles that every task knows of, and how often one occurs at least to be among them.
+HEAVY, FEW = 1 << 16, 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, 2 * PARTS + 1, np.uint64)
 
@@ -181,16 +183,38 @@ def _hard(members: DataFrame, rooted: DataFrame) -> DataFrame:
 def first_shingles(sets: DataFrame) -> DataFrame:
     """(shingle, fp, size, left): of each set(fp, shingles) the shingles, the rarest first, as far as another set that overlaps enough may share none before.
 
-    left counts the shingle at hand and those after it; it is never under LEAST of the size.
+    left counts the shingle at hand and those after it; it is never under LEAST of the size.  A shingle that no other set
+    has opens nothing: those stand first, so it is enough to know how many a set has of them.  The most frequent ones, HEAVY
+    at most whatever the input, are known to every task; only the others are joined with how often they occur, so what
+    all sets share is never shuffled.
     """
     top, of = LEAST
-    each = sets.select("fp", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("often"))
-    ranked = each.join(often, "shingle").groupBy("fp", "size").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("every"))
-    # to overlap with a fitting set, at least this share of the own shingles must be left
-    first = ranked.withColumn("every", F.slice("every", F.lit(1), F.col("size") - F.ceil(F.col("size") * F.lit(top) / of).cast("int") + 1))
-    told = first.select("fp", "size", F.posexplode("every").alias("pos", "x"))
-    return told.where("x.often > 1").select("x.shingle", "fp", "size", (F.col("size") - F.col("pos")).alias("left"))
+    each = sets.select("fp", F.explode("shingles").alias("shingle"))
+    often = stash(each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
+    limit = max(FEW, (often.agg(F.sum("often")).first()[0] or 0) // HEAVY)  # so many occurrences or more: HEAVY shingles at most
+    known = often.where(F.col("often") > limit).toPandas().sort_values("shingle")
+    shingle, times = known["shingle"].to_numpy(np.int64), known["often"].to_numpy(np.int64)
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            heavy, light = [], []
+            for found in b["shingles"]:
+                at = np.minimum(np.searchsorted(shingle, found), max(0, len(shingle) - 1))
+                is_heavy = shingle[at] == found if len(shingle) else np.zeros(len(found), bool)
+                order = np.lexsort((found[is_heavy], times[at[is_heavy]]))
+                heavy.append(found[is_heavy][order])
+                light.append(found[~is_heavy])
+            yield pd.DataFrame({"fp": b["fp"], "size": [len(f) for f in b["shingles"]], "heavy": heavy, "light": light})
+
+    told = stash(sets.select("fp", "shingles").mapInPandas(split, "fp long, size int, heavy array<long>, light array<long>"), "split")
+    some = told.select("fp", F.explode("light").alias("shingle")).join(often.where(F.col("often") <= limit), "shingle")
+    ranked = some.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("often", "shingle")))["shingle"].alias("ranked"))
+    every = F.concat(F.coalesce("ranked", F.array().cast("array<bigint>")), "heavy")
+    # to overlap with a fitting set, at least this share of the own shingles must be left; what is in `every` are the last
+    least = F.ceil(F.col("size") * F.lit(top) / of).cast("int")
+    first = told.join(ranked, "fp", "left").select("fp", "size", every.alias("every")).withColumn("n", F.size("every")).where(F.col("n") >= least)
+    opened = first.select("fp", "size", "n", F.posexplode(F.slice("every", F.lit(1), F.col("n") - least + 1)).alias("pos", "shingle"))
+    return opened.select("shingle", "fp", "size", (F.col("n") - F.col("pos")).alias("left"))
 
 
 def _fits(x: str, y: str) -> str:
@@ -201,22 +225,22 @@ def _fits(x: str, y: str) -> str:
 
 
 def _with_roots(entries: DataFrame, rooted: DataFrame) -> DataFrame:
-    told = entries.join(rooted.select("fp", "root"), "fp")
-    several = told.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle")
-    return told.join(several, "shingle").select("shingle", F.struct("fp", "root", "size", "left").alias("c"))
+    return entries.join(rooted.select("fp", "root"), "fp").select("shingle", F.struct("fp", "root", "size", "left").alias("c"))
 
 
 def _pairs_with_core(entries: DataFrame, rooted: DataFrame) -> DataFrame:
-    """At each shingle, pairs with the class in which it stands first: that with the fewest shingles of its own."""
+    """At each shingle that several components have, pairs with the class in which it stands first: that with the fewest shingles of its own."""
     told = _with_roots(entries, rooted)
-    core = told.groupBy("shingle").agg(F.min_by("c", F.struct(F.col("c.size") - F.col("c.left"), "c.fp")).alias("core"))
+    first = F.min_by("c", F.struct(F.col("c.size") - F.col("c.left"), "c.fp")).alias("core")
+    core = told.groupBy("shingle").agg(first, F.min("c.root").alias("lo"), F.max("c.root").alias("hi")).where("lo < hi").select("shingle", "core")
     return _ordered(told.join(core, "shingle").where(_fits("c", "core")).select(F.col("c.fp").alias("u"), F.col("core.fp").alias("v")))
 
 
 def _pairs_outside(entries: DataFrame, rooted: DataFrame) -> DataFrame:
     """At each shingle, pairs across components; one of a pair is not of the component that holds most of the shingle's classes."""
     told = _with_roots(entries, rooted)
-    most = told.groupBy("shingle", "c.root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
+    sizes = told.groupBy("shingle", "c.root").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1").select("shingle", "most")
     minor = told.join(most, "shingle").where("c.root <> most").select("shingle", F.col("c").alias("m"))
     return _ordered(minor.join(told, "shingle").where(_fits("m", "c")).select(F.col("m.fp").alias("u"), F.col("c.fp").alias("v")))
 

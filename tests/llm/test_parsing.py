@@ -67,3 +67,64 @@ def test_tossed_labels_differ_between_neighbours(bits):
         names = parsing.toss(names, first)
         assert (names[1:] != names[:-1]).all()
     assert names.max() < 8
+
+
+FULL = (1 << 64) - 1
+ODD = 0x9E3779B97F4A7C15
+
+
+def plainly_mixed(x):
+    x = ((x ^ x >> 31) * ODD) & FULL
+    x = ((x ^ x >> 29) * 0xBF58476D1CE4E5B9) & FULL
+    return x ^ x >> 32
+
+
+def plainly_tossed(labels):
+    """Twice the place of the lowest bit in which a label differs from the one before, plus that bit; the first differs in bit 0."""
+    out = [labels[0] & 1] if labels else []
+    for before, own in zip(labels, labels[1:]):
+        place = 0
+        while (before >> place & 1) == (own >> place & 1):
+            place += 1
+        out.append(2 * place + (own >> place & 1))
+    return out
+
+
+def plainly_parsed(names):
+    """The names of the next level, one name at a time."""
+    runs = []  # [name, how often]
+    for n in names:
+        if runs and runs[-1][0] == n:
+            runs[-1][1] += 1
+        else:
+            runs.append([n, 1])
+    labels = [n for n, _ in runs]
+    for _ in range(3):
+        labels = plainly_tossed(labels)
+    phrases = []
+    for i, (n, often) in enumerate(runs):
+        peak = 0 < i < len(runs) - 1 and labels[i - 1] < labels[i] > labels[i + 1]
+        if i == 0 or peak or often > 1 or runs[i - 1][1] > 1:
+            phrases.append([])
+        phrases[-1] += [n] * often
+    return [plainly_mixed(sum(plainly_mixed((n + (j + 1) * ODD) & FULL) for j, n in enumerate(p)) & FULL) for p in phrases]
+
+
+def plain_sketch(text):
+    bands, names = (16, 32, 64), [ord(c) for c in text]
+    slots = [[0xFFFFFFFF] * b for b in bands]
+    for level in range(1, 7):
+        names = plainly_parsed(names)
+        band = slots[min(level, 3) - 1]
+        for n in names:
+            v = plainly_mixed((n + level * ODD) & FULL)
+            at = (v >> 40) % len(band)
+            band[at] = min(band[at], v & 0xFFFFFFFF, 0xFFFFFFFE)
+    return sum(slots, [])
+
+
+def test_as_parsed_name_by_name():
+    rng = random.Random(8)
+    texts = ["", "a", "ab", "aa", "aab", "abb", "abc", "x" * 300, "ab" * 100, "é🙂é" * 9, *[words(rng, n) for n in (1, 2, 3, 10, 50, 300)], *["".join(rng.choice("ab") for _ in range(rng.randrange(1, 200))) for _ in range(40)]]
+    for text, sketch in zip(texts, parsing.sketches(texts), strict=True):
+        assert sketch.tolist() == plain_sketch(text), text[:50]

@@ -65,3 +65,28 @@ def test_masked_texts_lose_their_spans(spark):
 
 def test_empty_table(spark):
     assert secrets.summary(frame(spark).limit(0)).count() == 0 and secrets.mask(frame(spark).limit(0)).count() == 0
+
+
+def test_precision_and_recall_on_planted_values(spark):
+    """Owner-specific random tokens among copied examples, version strings, words and repeats of one owner: only the former are live."""
+    import random
+
+    draw = random.Random(6)
+    token = lambda n: "".join(draw.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz") for _ in range(n)) + str(draw.randrange(10, 99))
+    live, examples, copied = [token(draw.randrange(24, 40)) for _ in range(80)], [token(30) for _ in range(15)], [token(30) for _ in range(5)]
+    rows, planted = [], []
+    for i, value in enumerate(live):
+        where = draw.choice([f"use {value} now", f"password={value}", f"key\n{value}\nend"])
+        for j in range(draw.choice((1, 1, 2))):  # the same owner, or a second one
+            rows.append((len(rows), where, f"o{(i + j) % 30}"))
+            planted.append(rows[-1][0])
+    for value in examples:
+        rows += [(len(rows) + j, f"for instance token={value} or {value}", f"o{j}") for j in range(8)]
+    for value in copied:
+        rows += [(len(rows) + j, f"see {value} there", "o1") for j in range(12)]
+    rows += [(len(rows) + j, f"release-{j}.0 aaaaaaaaaaaaaaaaaaaaaaaa1 plain words and {'1' * 30}", f"o{j % 9}") for j in range(60)]
+    got = {r.doc_id: r for r in secrets.summary(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    told = {k for k, r in got.items() if r.n_live}
+    precision, recall = len(told & set(planted)) / len(told), len(told & set(planted)) / len(planted)
+    assert precision == 1.0 and recall == 1.0, (precision, recall)
+    assert all(got[k].n_example >= 1 for k, t, _ in rows if t.startswith("for instance"))
