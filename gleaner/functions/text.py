@@ -8,7 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -100,12 +101,12 @@ def phrase_pattern(phrase: str) -> str:
 
 
 def check_rules(rules: list[Rule]) -> None:
-    """Raise InvalidRule for a regex that does not compile."""
+    """Raise InvalidRule for a regex that Spark's own engine does not compile."""
     for r in rules:
         if r.is_regex:
             try:
-                re.compile(r.phrase)
-            except re.error as wrong:
+                SparkSession.getActiveSession().sql("SELECT '' RLIKE :pattern", {"pattern": f"(?iU){r.phrase}"}).collect()
+            except PySparkException as wrong:
                 raise InvalidRule(f"{r.phrase!r}: {wrong}") from wrong
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.settings import DEFAULT, Settings
@@ -83,6 +83,37 @@ def latency_histogram(df: DataFrame, value: str, bounds: list[float] = LATENCY_B
     return counts.select(F.explode(rows).alias("r")).select("r.*")
 
 
+def histogram_quantile(buckets: DataFrame, p: float, *by: str) -> DataFrame:
+    """(by.., quantile) from cumulative buckets(by.., le, n): the value at rank p of the total, taken to lie evenly within its bucket.
+
+    The first bucket starts at 0 (or at its own bound, if that is not above 0).  A rank in the last bucket, which has no
+    upper bound, gives the greatest finite bound.  Null without values or without that last bucket.
+    """
+    rows = buckets.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("le", F.col("n").cast("double").alias("n")))).alias("b"))  # a row for each bound
+    total = F.try_element_at("b", F.lit(-1))
+    reached = F.get(F.filter("b", lambda x: x["n"] >= total["n"] * p), F.lit(0))
+    before = F.try_element_at(F.filter("b", lambda x: x["le"] < reached["le"]), F.lit(-1))
+    low, under = F.coalesce(before["le"], F.least(reached["le"], F.lit(0.0))), F.coalesce(before["n"], F.lit(0.0))
+    inside = low + (reached["le"] - low) * (total["n"] * p - under) / F.nullif(reached["n"] - under, F.lit(0.0))
+    value = F.when(reached["le"] == float("inf"), before["le"]).otherwise(F.coalesce(inside, reached["le"]))
+    return rows.select(*by, F.when((total["le"] == float("inf")) & (total["n"] > 0), value).alias("quantile"))
+
+
+def sustained(samples: DataFrame, condition: Column, step_seconds: int, hold_seconds: int, key: str = "metric", time: str = "at") -> DataFrame:
+    """(key, pending_from, firing_from, until, samples): runs in which the condition held at every step, and for as long as asked.
+
+    samples has a row for each key and step.  A run ends where the condition fails, is null or a step is missing; it fires
+    from hold_seconds after its start on.  A key's samples are a series of one row a step.
+    """
+    at = F.unix_seconds(time)
+    held = samples.where(F.coalesce(condition, F.lit(False))).select(F.col(key), F.col(time).alias("t"), at.alias("s"))
+    # of consecutive steps, the step less its number is the same
+    island = F.col("s") - step_seconds * F.row_number().over(Window.partitionBy(key).orderBy("s"))
+    runs = held.withColumn("run", island).groupBy(key, "run").agg(F.min("t").alias("pending_from"), F.max("t").alias("until"), F.count("*").alias("samples"), F.min("s").alias("first"), F.max("s").alias("last"))
+    fired = runs.where(F.col("last") - F.col("first") >= hold_seconds)
+    return fired.select(key, "pending_from", F.timestamp_seconds(F.col("first") + hold_seconds).alias("firing_from"), "until", "samples")
+
+
 def alerts(df: DataFrame, value: str, failed: str, p: float = 0.95, most_latency: float = 5.0, most_failures: float = 0.001) -> DataFrame:
     """(p_latency, failure_ratio, latency_alert, failure_alert) of a window of rows."""
     out = df.agg(F.percentile_approx(value, p).alias("p_latency"), F.avg(F.col(failed).cast("int")).alias("failure_ratio"))

@@ -70,8 +70,9 @@ def match_pairs(orders: DataFrame, subscriptions: DataFrame, as_of: Column, comp
     """(order_id, subscription): for each order and user the earliest of the user's enabled subscriptions that the order fits.
 
     Orders meet subscriptions on keys: a subscription stands under its sources if it names any, else its project types,
-    else its currencies, else the band of ten that its least relevance lies in; an order has its own source, type,
-    currency and all bands up to its own.  So a pair is made only where the narrowest list or the relevance fits.  The
+    else its currencies, else alone, each but the first with the band of ten that its least relevance lies in; an order has
+    its own source, and its type, its currency and nothing with all bands up to its own.  So a pair is made only where the
+    narrowest list and the relevance fit, and a type or currency that all orders share is several keys.  The
     earliest one of a user is a minimum of ranks with partial aggregation.  Subscriptions are broadcast up to FEW of them.
     """
     text = normalize_text(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("normalized_text", F.lit(""))), compose)
@@ -81,13 +82,16 @@ def match_pairs(orders: DataFrame, subscriptions: DataFrame, as_of: Column, comp
     left = orders.select(
         "order_id", "source_id", "project_type", "relevance_score", currency.alias("currency"), representative_budget(F.col("budget_from"), F.col("budget_to")).cast(MONEY).alias("amount"), F.unix_seconds("published_at").alias("at"), text.alias("text"),
     )
-    own = F.concat(F.array(key("source", F.col("source_id")), key("type", F.col("project_type")), key("currency", F.col("currency"))), F.transform(F.sequence(F.lit(0), band(F.col("relevance_score"))), lambda b: key("band", b)))
+    banded = lambda value, b: F.concat(value, F.lit("|"), b.cast("string"))
+    kinds = F.array(key("type", F.col("project_type")), key("currency", F.col("currency")), F.lit("any"))
+    own = F.concat(F.array(key("source", F.col("source_id"))), F.flatten(F.transform(F.sequence(F.lit(0), band(F.col("relevance_score"))), lambda b: F.transform(kinds, lambda k: banded(k, b)))))
     left = left.withColumn("key", F.explode(F.filter(own, lambda k: k.isNotNull())))
     subs = _limits(subscriptions)
-    listed = lambda kind, c: F.transform(c, lambda v: key(kind, v))
+    least = band(F.col("s.min_relevance_score"))
+    listed = lambda kind, c: F.transform(c, lambda v: banded(key(kind, v), least))
     under = (
-        F.when(F.size("sources") > 0, listed("source", F.col("sources"))).when(F.size("types") > 0, listed("type", F.col("types")))
-        .when(F.size("currencies_") > 0, listed("currency", F.col("currencies_"))).otherwise(F.array(key("band", band(F.col("s.min_relevance_score")))))
+        F.when(F.size("sources") > 0, F.transform("sources", lambda v: key("source", v))).when(F.size("types") > 0, listed("type", F.col("types")))
+        .when(F.size("currencies_") > 0, listed("currency", F.col("currencies_"))).otherwise(F.array(banded(F.lit("any"), least)))
     )
     few = subscriptions.count() <= FEW
     right = subs.select("user", "rank", *LISTS, *[F.col(f"s.{c}").alias(c) for c in ("min_relevance_score", "freshness_days")], *[F.col(f"s.{c}").cast(MONEY).alias(c) for c in ("budget_min", "budget_max")], F.explode(under).alias("key"))

@@ -54,14 +54,49 @@ def order_embedding_text(compose: bool = True) -> Column:
     return text.mask_pii(F.concat_ws(" ", *parts), compose)
 
 
+def hashed_vectors(rows: DataFrame, key: str, tokens: str, dimension: int) -> DataFrame:
+    """(key, vector): what hash_embedding gives for the array column tokens, for texts of any length; rows without tokens are left out.
+
+    Each token becomes a slot and a sign once; these are summed by (row, slot), so only what is not zero is carried, and the
+    dense vector is filled up from the row's slots in their order.  key is one row's own.
+    """
+    hashed = rows.select(key, F.explode(tokens).alias("t")).select(key, F.sha2(F.col("t").cast("binary"), 256).alias("h"))
+    slot = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(dimension).cast("long")).cast("int")
+    # the tenth digit is even for one of two
+    sign = F.when(F.substring("h", 10, 1).isin(*"02468ace"), 1).otherwise(-1)
+    sums = hashed.select(key, slot.alias("slot"), sign.alias("sign")).groupBy(key, "slot").agg(F.sum("sign").cast("double").alias("x"))
+    told = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "x"))).alias("slots"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    gap = lambda a, b: F.array_repeat(F.lit(0.0), b - a - 1)
+    before = lambda i: F.coalesce(F.get("slots", i - 1)["slot"], F.lit(-1))
+    value = lambda e: F.when(F.col("norm") > 0, e["x"] / F.col("norm")).otherwise(e["x"])
+    filled = F.flatten(F.transform("slots", lambda e, i: F.concat(gap(before(i), e["slot"]), F.array(value(e)))))
+    return told.select(key, F.concat(filled, gap(F.try_element_at("slots", F.lit(-1))["slot"], F.lit(dimension))).alias("vector"))
+
+
 def embed_orders(orders: DataFrame, embed: Callable[[pd.Series], pd.Series] | None = None, dimension: int = 384) -> DataFrame:
-    """Fill null embeddings; embed maps texts to vectors, batch by batch (default: hashed tokens).  A vector of another length gives null."""
-    if embed is None:
-        made = hash_embedding(text.semantic_tokens(order_embedding_text()), dimension)
-    else:
-        made = F.pandas_udf(embed, "array<float>")(order_embedding_text())
-    made = made.cast("array<float>")
-    return orders.withColumn("embedding", F.coalesce("embedding", F.get(F.filter(F.array(made), lambda v: F.size(v) == dimension), F.lit(0))))
+    """Fill null embeddings; embed maps texts to vectors, batch by batch (default: hashed tokens).  A vector of another length gives null.
+
+    By default the orders are stored once with a number for each row, as their vectors are made apart and joined to them.
+    """
+    if embed is not None:
+        made = F.pandas_udf(embed, "array<float>")(order_embedding_text()).cast("array<float>")
+        return orders.withColumn("embedding", F.coalesce("embedding", F.get(F.filter(F.array(made), lambda v: F.size(v) == dimension), F.lit(0))))
+    rows = stored(orders.withColumn("__row", F.monotonically_increasing_id()), "orders")
+    words = rows.where("embedding is null").select("__row", text.semantic_tokens(order_embedding_text()).alias("tokens"))
+    made = hashed_vectors(words, "__row", "tokens", dimension).select("__row", F.col("vector").cast("array<float>").alias("__v"))
+    zero = F.array_repeat(F.lit(0.0), dimension).cast("array<float>")
+    return rows.join(made, "__row", "left").withColumn("embedding", F.coalesce("embedding", "__v", zero)).select(*orders.columns)
+
+
+def backfill_counts(orders: DataFrame, dimension: int = 384) -> DataFrame:
+    """One row of what embed_orders would do, before it does: (scanned, to_embed, without_tokens, kept, misfit).
+
+    misfit counts vectors of another length, which are kept as they are.
+    """
+    missing = F.col("embedding").isNull()
+    empty = F.size(text.semantic_tokens(order_embedding_text())) == 0
+    count = lambda test, name: F.count_if(test).alias(name)
+    return orders.agg(F.count("*").alias("scanned"), count(missing, "to_embed"), count(missing & empty, "without_tokens"), count(~missing, "kept"), count(~missing & (F.size("embedding") != dimension), "misfit"))
 
 
 def embedding_backlog(orders: DataFrame, batch: int | None = None) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import activity, dedup, ml, notify, orders, posts, semantic
-from gleaner.plans.queries import _FEED, _events, _feed, _table
+from gleaner.operators import activity, dedup, dictionary, ml, notify, orders, posts, semantic
+from gleaner.plans.queries import _EDGE_L, _EDGE_R, _FEED, _POSTS, _WORDS, _events, _feed, _normal, _table
 from gleaner.settings import Settings
-from gleaner.sources import merge
+from gleaner.sources import changes, merge
+from gleaner.sources.scratch import shared_dir
+from gleaner.streaming import limits
 
 #: Thresholds that the tables' vectors reach: their nearest neighbours have a cosine of about 0.3 to 0.5.
 LOOSE = Settings(semantic_merge=0.42, semantic_review=0.34)
@@ -55,12 +59,36 @@ def rule_changes(spark: SparkSession, d: str) -> DataFrame:
     return told.groupBy("op", "outcome").agg(F.count("*").alias("n")).unionByName(kept)
 
 
+def change_log(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as rules and the lines of orders as a log of their changes: two thirds of the rules are there, lines create, delete and update, some beyond what is valid."""
+    parts = _table(spark, d, "part").where("p_partkey % 3 > 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("phrase"), F.col("p_size").cast("long").alias("weight"))
+    n, o, none = F.col("l_linenumber"), F.col("l_orderkey"), F.lit(None)
+    log = _table(spark, d, "lineitem").select(
+        F.col("l_partkey").alias("id"), (o * 10 + n).alias("at"), F.when(n == 1, "create").when((n == 2) & (o % 3 == 0), "delete").otherwise("update").alias("op"),
+        F.when(n == 1, F.concat(F.lit("new "), o.cast("string"))).when(n == 4, "again").otherwise(none.cast("string")).alias("phrase"), F.when(n != 4, F.col("l_quantity").cast("long") % 20).otherwise(none.cast("long")).alias("weight"),
+    )
+    after, told = changes.apply_log(parts, log, "id", "at", valid=lambda row: row["weight"] > 2)
+    kept = after.select(F.lit("row").alias("kind"), F.col("id"), F.col("phrase").alias("what"), F.col("weight").alias("n"))
+    counted = told.groupBy("op", "outcome", F.array_join("fields", ",").alias("fields")).agg(F.count("*").alias("n"))
+    return kept.unionByName(counted.select(F.lit("outcome").alias("kind"), F.lit(0).cast("long").alias("id"), F.concat_ws(" ", "op", "outcome", "fields").alias("what"), "n"))
+
+
 def replaced_rows(spark: SparkSession, d: str) -> DataFrame:
     e = _table(spark, d, "events").select("event_id", "user_id", "event_type")
     new = e.where("user_id % 3 = 0 and event_type = 'view'").withColumn("event_type", F.lit("again"))
     return merge.replace_by_key(e, new, "user_id").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+def dictionary_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The words of the benchmark's passages and each passage's first three words as a dictionary over all posts: exact and fuzzy hits of each rule."""
+    items = _table(spark, d, "benchmark").select("item_id", F.split(F.lower("text"), r"[\s]+").alias("w"))
+    one = items.select("item_id", F.posexplode("w").alias("at", "phrase")).where(F.col("phrase").rlike("^[a-z]+$")).select((F.col("item_id") * 1000 + F.col("at")).cast("int").alias("position"), "phrase")
+    three = items.select((F.col("item_id") * 1000 + 999).cast("int").alias("position"), F.array_join(F.slice("w", 1, 3), " ").alias("phrase"))
+    rules = one.unionByName(three).select("position", "phrase", F.lit(1).alias("weight"), F.lit("benchmark").alias("category"))
+    hits = dictionary.dictionary_hits(_normal(spark, d), rules, "message_id")
+    return hits.groupBy("position", "phrase").agg(F.count_if(~F.col("is_fuzzy")).alias("exact"), F.count_if("is_fuzzy").alias("fuzzy"), F.sum(F.length("matched_text")).alias("letters"))
+
+
 def dead_letters(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", F.when(F.col("text").isNull(), "no text").when(F.col("n_chars") > 5000, "too long").alias("error"))
     known = docs.where("doc_id % 10 = 0").select(F.concat(F.lit("parse:"), F.col("doc_id")).alias("dedup_key"))
@@ -184,6 +212,21 @@ def released_deliveries(spark: SparkSession, d: str) -> DataFrame:
     return notify.release_deferred(deliveries, good, users, _time("2024-01-20 00:00:00")).select("delivery_id", "decision")
 
 
+def subscription_matches_mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Orders against a subscription for each customer; they differ in relevance, types, budgets, currencies, sources, words and freshness."""
+    k, empty = F.col("c_custkey"), F.array().cast("array<string>")
+    low = ((k % 13) * 20000).cast("decimal(14,2)")
+    words = lambda n, *given: F.when(k % n == 0, F.array(*map(F.lit, given))).otherwise(empty)
+    subs = _table(spark, d, "customer").select(
+        k.alias("subscription_id"), (k % 20).alias("user_id"), F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(c_custkey % 11 as int), 0, 0)").alias("created_at"), (k % 9 > 0).alias("enabled"), (k * 7 % 101).cast("int").alias("min_relevance_score"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("1-URGENT"))).when(F.col("c_mktsegment") == "MACHINERY", F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))).otherwise(empty).alias("project_types"),
+        low.alias("budget_min"), F.when(k % 2 == 1, (low + 150000).cast("decimal(14,2)")).alias("budget_max"), F.when(k % 3 == 0, F.array(F.lit("usd"))).when(k % 3 == 2, F.array(F.lit("eur"), F.lit("UAH"))).otherwise(empty).alias("currencies"),
+        F.when(k % 4 == 0, F.array(k, k + 1, k + 2)).alias("source_ids"), words(5, "For 1", "urgent").alias("positive_keywords"), words(6, "for 7").alias("negative_keywords"), F.when(k % 7 == 0, 900).alias("freshness_days"),
+    )
+    met = notify.match_pairs(_feed(spark, d).withColumn("normalized_text", F.lit("")), subs, _time("1998-08-02 00:00:00"), compose=False)
+    return met.select("order_id", F.col("subscription.user_id").alias("user_id"), F.col("subscription.subscription_id").alias("subscription_id"))
+
+
 def admitted_deliveries(spark: SparkSession, d: str) -> DataFrame:
     """Events as candidates for deliveries: users differ in limits and cooldowns, some candidates are similar to earlier ones or fall in quiet hours."""
     e, n, u = _events(spark, d), F.col("event_id"), F.col("user_id")
@@ -212,6 +255,30 @@ def notification_decisions(spark: SparkSession, d: str) -> DataFrame:
     return told.withColumn("scheduled_for", F.col("scheduled_for").cast("string"))
 
 
+def _streamed(spark: SparkSession, d: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stateful transform of the events, read as a stream, writes in one micro-batch."""
+    source = spark.readStream.schema(_table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    root, out = f"{shared_dir(spark)}/gleaner-stream-{uuid.uuid4().hex}", transform(source)
+    with limits.rocksdb(spark):
+        out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(once=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+def streaming_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Events as candidates for deliveries: two a day for each user, and none like another of the last three days."""
+    mark = F.concat(F.lit("f"), (F.col("event_id") % 40).cast("string"))
+    return _streamed(spark, d, lambda e: limits.limit_deliveries(e.select("user_id", F.col("event_id").alias("order_id"), "ts", mark.alias("duplicate_fingerprint")), 1440, 2, cooldown=4320))
+
+
+def streaming_release(spark: SparkSession, d: str) -> DataFrame:
+    """Events as deferred deliveries that are due by now."""
+    orders_ = _feed(spark, d).where("order_id % 3 <> 1").select("order_id")
+    users = _table(spark, d, "events").select("user_id", (F.col("user_id") % 4 > 0).alias("is_active")).distinct()
+    deferred = lambda e: e.select(F.col("event_id").alias("delivery_id"), (F.col("event_id") % 5000).alias("order_id"), "user_id", F.col("ts").alias("scheduled_for"))
+    told = _streamed(spark, d, lambda e: limits.timed_release(deferred(e), orders_, users))
+    return told.select("delivery_id", "order_id", "user_id", F.date_format("scheduled_for", "yyyy-MM-dd HH:mm:ss").alias("scheduled_for"), "decision")
+
+
 def checked_subscriptions(spark: SparkSession, d: str) -> DataFrame:
     k, empty = F.col("c_custkey"), F.array().cast("array<string>")
     at = lambda *values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
@@ -236,6 +303,19 @@ def failure_alerts(spark: SparkSession, d: str) -> DataFrame:
     return activity.alerts(e, "value", "failed").select("failure_ratio", "latency_alert", "failure_alert")
 
 
+def latency_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    """Quantiles of the events' values, told from a histogram alone."""
+    buckets = activity.latency_histogram(_events(spark, d), "value", [1.0, 5.0, 10.0, 50.0, 100.0, 300.0])
+    each = [activity.histogram_quantile(buckets, p).select(F.lit(p).alias("p"), F.round("quantile", 6).alias("quantile")) for p in (0.01, 0.5, 0.95, 0.999)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def sustained_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of two hours or more in which the mean value of an event type stays above 45, hour by hour."""
+    hourly = _events(spark, d).groupBy(F.col("event_type").alias("metric"), F.date_trunc("hour", "ts").alias("at")).agg(F.avg("value").alias("mean"))
+    return activity.sustained(hourly, F.col("mean") > 45, 3600, 7200)
+
+
 def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
     told = _table(spark, d, "labels").select(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"), F.when(F.col("toxic") == 1, "bad").otherwise("good").alias("predicted"))
     out = activity.summary_metrics(activity.evaluate(told, ["good", "bad"]), activity.confusion(told))
@@ -284,6 +364,24 @@ def semantic_groups(spark: SparkSession, d: str) -> DataFrame:
     return merged.select("order_id", "duplicate_group_id", "canonical_order_id", "group_size", "method", "semantic_status", F.round("semantic_similarity", 4).alias("similarity"))
 
 
+def vector_search(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty vectors nearest to one given direction."""
+    query = [(i % 7 - 3) / 10 for i in range(64)]
+    return semantic.search(_table(spark, d, "embeddings").where(F.size("embedding") == 64), query, "vec_id", "embedding", 20)
+
+
+def rule_list(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as dictionary rows: those of one brand."""
+    rules = _table(spark, d, "part").select(F.col("p_name").alias("phrase"), F.col("p_brand").alias("category"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("lang"))
+    return merge.list_rules(rules, "Brand#13")
+
+
+def subscription_list(spark: SparkSession, d: str) -> DataFrame:
+    """The subscriptions of one user, who has every seventh customer's, the newest first."""
+    subs = _table(spark, d, "customer").select(F.col("c_custkey").alias("subscription_id"), (F.col("c_custkey") % 7).alias("user_id"), F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(c_custkey % 50 as int), 0, 0)").alias("created_at"))
+    return merge.list_subscriptions(subs, 3)
+
+
 def embedding_backlog(spark: SparkSession, d: str) -> DataFrame:
     """Canonical orders without a vector: those whose key is 0 or 1 modulo 4 have none, and every third is a copy."""
     n = F.col("order_id") % 4
@@ -307,6 +405,16 @@ ORACLES = {
           CASE WHEN n = 0 THEN 'invalid' WHEN n = 2 THEN 'duplicate' WHEN n = 3 THEN 'not_found' WHEN n = 5 AND k + 1 IN (SELECT p_partkey FROM part) THEN 'duplicate' ELSE 'ok' END AS outcome FROM c)
         SELECT op, outcome, count(*) AS n FROM o GROUP BY ALL
         UNION ALL SELECT 'table', 'rows', count(*) - count(*) FILTER (WHERE p_partkey % 8 = 1) + count(*) FILTER (WHERE p_partkey % 8 = 4) FROM part""",
+    "change_log": """WITH RECURSIVE e AS (SELECT l_partkey AS id, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS k, CASE WHEN l_linenumber = 1 THEN 'create' WHEN l_linenumber = 2 AND l_orderkey % 3 = 0 THEN 'delete' ELSE 'update' END AS op,
+            CASE l_linenumber WHEN 1 THEN 'new ' || l_orderkey WHEN 4 THEN 'again' END AS phrase, CASE WHEN l_linenumber <> 4 THEN l_quantity::BIGINT % 20 END AS weight FROM lineitem),
+        s AS (SELECT p_partkey AS id, 0::BIGINT AS k, p_partkey % 3 > 0 AS there, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS phrase, CASE WHEN p_partkey % 3 > 0 THEN p_size::BIGINT END AS weight, NULL::VARCHAR AS op, NULL::VARCHAR AS outcome, '' AS fields FROM part
+            UNION ALL SELECT id, k, CASE WHEN outcome = 'ok' THEN op <> 'delete' ELSE there END, CASE WHEN outcome = 'ok' THEN p ELSE phrase END, CASE WHEN outcome = 'ok' THEN w ELSE weight END, op, outcome,
+                CASE WHEN outcome = 'ok' AND op <> 'delete' THEN concat_ws(',', CASE WHEN p IS DISTINCT FROM phrase THEN 'phrase' END, CASE WHEN w IS DISTINCT FROM weight THEN 'weight' END) ELSE '' END FROM (
+                SELECT *, CASE WHEN op = 'create' AND there THEN 'duplicate' WHEN op <> 'create' AND NOT there THEN 'not_found' WHEN op <> 'delete' AND NOT coalesce(w > 2, false) THEN 'invalid' WHEN op <> 'delete' AND there AND p IS NOT DISTINCT FROM phrase AND w IS NOT DISTINCT FROM weight THEN 'no_op' ELSE 'ok' END AS outcome
+                FROM (SELECT e.id, e.k, s.there, s.phrase, s.weight, e.op, CASE WHEN e.op <> 'delete' THEN coalesce(e.phrase, s.phrase) END AS p, CASE WHEN e.op <> 'delete' THEN coalesce(e.weight, s.weight) END AS w FROM s JOIN e ON e.id = s.id AND e.k = s.k + 1))),
+        last AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1)
+        SELECT 'row' AS kind, id, phrase AS what, weight AS n FROM last WHERE there
+        UNION ALL SELECT 'outcome', 0, op || ' ' || outcome || ' ' || fields, count(*) FROM s WHERE k > 0 GROUP BY op, outcome, fields""",
     "replaced_rows": """WITH x AS (SELECT DISTINCT user_id FROM events WHERE user_id % 3 = 0 AND event_type = 'view'), a AS (
         SELECT user_id, event_type FROM events WHERE user_id NOT IN (SELECT user_id FROM x) UNION ALL SELECT user_id, 'again' FROM events WHERE user_id % 3 = 0 AND event_type = 'view')
         SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM a GROUP BY 1""",
@@ -330,6 +438,12 @@ ORACLES = {
     "recipients": """SELECT c_custkey::VARCHAR AS user_id, c_custkey AS tg_chat_id FROM customer WHERE c_acctbal > 0 AND c_nationkey <> 3 AND c_custkey % 2 = 0
         UNION ALL SELECT 'chat:' || x, x FROM (SELECT unnest([c_custkey, -c_custkey]) AS x FROM customer WHERE c_custkey % 2 = 0) WHERE x NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
     "released_deliveries": f"WITH {_FEED} SELECT event_id AS delivery_id, CASE WHEN user_id % 4 > 0 AND event_id % 5000 IN (SELECT order_id FROM feed WHERE relevance_score >= 50) THEN 'send' ELSE 'skipped' END AS decision FROM events WHERE event_type = 'view' AND ts <= TIMESTAMP '2024-01-20'",
+    "subscription_matches_mixed": f"""WITH {_FEED}, s AS (SELECT c_custkey AS k, c_custkey % 20 AS u, c_mktsegment AS seg, (c_custkey % 13) * 20000 AS low FROM customer WHERE c_custkey % 9 > 0),
+        o AS (SELECT *, lower(title || ' ' || summary) AS t, (budget_from + budget_to) / 2 AS amount FROM feed),
+        m AS (SELECT order_id, u, k, row_number() OVER (PARTITION BY order_id, u ORDER BY k % 11, k) AS nth FROM o JOIN s ON relevance_score >= k * 7 % 101 AND amount >= low AND (k % 2 = 0 OR amount <= low + 150000) AND k % 3 <> 2
+            AND (seg NOT IN ('BUILDING', 'MACHINERY') OR project_type = '1-URGENT' OR (seg = 'MACHINERY' AND project_type = '2-HIGH')) AND (k % 4 > 0 OR source_id BETWEEN k AND k + 2)
+            AND (k % 5 > 0 OR contains(t, 'for 1') OR contains(t, 'urgent')) AND (k % 6 > 0 OR NOT contains(t, 'for 7')) AND (k % 7 > 0 OR published_at >= TIMESTAMP '1998-08-02' - INTERVAL 900 DAY))
+        SELECT order_id, u AS user_id, k AS subscription_id FROM m WHERE nth = 1""",
     "admitted_deliveries": """WITH e AS (SELECT user_id, event_id AS id, ts, event_id % 13 AS f, user_id % 3 AS recent, CASE WHEN user_id % 4 > 0 THEN user_id % 7 + 5 END AS most, user_id % 5 > 0 AS cooldown, event_id % 29 = 0 AS like_, event_id % 31 = 0 AS quiet FROM events),
         s AS (SELECT *, like_ OR (cooldown AND coalesce(bool_or(NOT like_ AND NOT quiet) OVER (PARTITION BY user_id, f ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) AS held FROM e),
         n AS (SELECT *, count(*) FILTER (WHERE NOT held AND NOT quiet) OVER (PARTITION BY user_id ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
@@ -344,10 +458,36 @@ ORACLES = {
         n AS (SELECT *, count(*) FILTER (WHERE NOT held AND NOT quiet) OVER (PARTITION BY u ORDER BY published_at, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s),
         t AS (SELECT *, CASE WHEN recent + before >= most THEN 'rate_limited' WHEN held THEN 'similar_recently' WHEN quiet THEN 'deferred' ELSE 'send' END AS decision FROM n)
         SELECT order_id, u AS user_id, sub AS subscription_id, decision, CASE WHEN decision = 'deferred' THEN '2024-01-30 13:00:00' END AS scheduled_for FROM t""",
+    "streaming_limits": """WITH RECURSIVE e AS (SELECT user_id AS u, event_id AS id, ts, event_id % 40 AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+        s AS (SELECT DISTINCT user_id AS u, 0::BIGINT AS k, NULL::BIGINT AS id, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS decision, []::STRUCT(t TIMESTAMP, f BIGINT)[] AS passed FROM events
+            UNION ALL SELECT u, k, id, ts, decision, CASE WHEN decision = 'send' THEN list_append(passed, {'t': ts, 'f': f}) ELSE passed END FROM (
+                SELECT e.*, passed, CASE WHEN len([x FOR x IN passed IF x.t >= e.ts - INTERVAL 1440 MINUTE]) >= 2 THEN 'rate_limited' WHEN len([x FOR x IN passed IF x.f = e.f AND x.t >= e.ts - INTERVAL 4320 MINUTE]) > 0 THEN 'similar_recently' ELSE 'send' END AS decision
+                FROM s JOIN e ON e.u = s.u AND e.k = s.k + 1))
+        SELECT u AS user_id, id AS order_id, ts, decision FROM s WHERE k > 0""",
+    "streaming_release": f"""WITH {_FEED} SELECT event_id::VARCHAR AS delivery_id, (event_id % 5000)::VARCHAR AS order_id, user_id::VARCHAR AS user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS scheduled_for,
+        CASE WHEN user_id % 4 > 0 AND event_id % 5000 IN (SELECT order_id FROM feed WHERE order_id % 3 <> 1) THEN 'send' ELSE 'skipped' END AS decision FROM events""",
     "checked_subscriptions": """SELECT c_custkey AS subscription_id, 'Site' AS types, 'USD' AS currencies, CASE WHEN c_custkey % 17 = 0 THEN 'source_ids' WHEN c_custkey % 4 = 2 THEN 'timezone' WHEN c_custkey % 6 = 3 OR c_custkey % 6 = 4 THEN 'quiet_hours_pair' WHEN c_custkey % 3 = 2 THEN 'quiet_hours_format'
         WHEN c_acctbal > 5000 THEN 'budget_range' WHEN c_custkey % 120 > 100 THEN 'min_relevance_score' END AS error FROM customer""",
     "outcome_counters": "SELECT 'semantic' AS metric, CASE WHEN value >= 100 THEN 'auto_merge' WHEN value >= 50 THEN 'review' WHEN value >= 1 THEN 'comparisons' ELSE 'unknown' END AS name, count(*) AS n FROM events GROUP BY 2",
     "failure_alerts": "SELECT avg((event_type = 'error')::INT)::DOUBLE AS failure_ratio, quantile_disc(value, 0.95) > 5 AS latency_alert, avg((event_type = 'error')::INT) > 0.001 AS failure_alert FROM events",
+    "latency_quantiles": """WITH b AS (SELECT le, count(*) FILTER (WHERE value <= le)::DOUBLE AS n FROM events, (SELECT unnest([1.0, 5.0, 10.0, 50.0, 100.0, 300.0]) AS le) GROUP BY le UNION ALL SELECT 'inf'::DOUBLE, count(value) FROM events),
+        r AS (SELECT *, lag(le) OVER (ORDER BY le) AS low, coalesce(lag(n) OVER (ORDER BY le), 0) AS under, max(n) OVER () AS total FROM b),
+        k AS (SELECT p, r.* FROM r, (SELECT unnest([0.01, 0.5, 0.95, 0.999]) AS p) QUALIFY row_number() OVER (PARTITION BY p, n >= total * p ORDER BY le) = 1 AND n >= total * p)
+        SELECT p::DOUBLE AS p, round(CASE WHEN isinf(le) THEN low ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * (total * p - under) / (n - under) END, 6)::DOUBLE AS quantile FROM k""",
+    "sustained_alerts": """WITH h AS (SELECT event_type AS metric, date_trunc('hour', ts)::TIMESTAMP AS t FROM events GROUP BY 1, 2 HAVING avg(value) > 45),
+        r AS (SELECT *, t - to_hours(row_number() OVER (PARTITION BY metric ORDER BY t)::INT) AS run FROM h)
+        SELECT metric, min(t) AS pending_from, min(t) + INTERVAL 2 HOUR AS firing_from, max(t) AS until, count(*) AS samples FROM r GROUP BY metric, run HAVING max(t) - min(t) >= INTERVAL 2 HOUR""",
+    "dictionary_matches": f"""WITH {_POSTS}, items AS (SELECT item_id, regexp_split_to_array(lower(text), '\\s+') AS w FROM benchmark),
+        one AS (SELECT item_id * 1000 + i - 1 AS position, w[i] AS phrase FROM items, range(1, 999) t(i) WHERE i <= len(w) AND regexp_matches(w[i], '^[a-z]+$')), three AS (SELECT item_id * 1000 + 999 AS position, array_to_string(w[1:3], ' ') AS phrase FROM items),
+        runs AS (SELECT DISTINCT message_id, unnest(regexp_extract_all(n, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')) AS word FROM posts),
+        exact AS (SELECT message_id, position, phrase, length(phrase) AS letters FROM one JOIN runs ON word = phrase
+            UNION ALL SELECT message_id, position, phrase, length(phrase) FROM three JOIN posts ON contains(n, phrase) WHERE regexp_matches(n, '{_EDGE_L}' || regexp_escape(phrase) || '{_EDGE_R}')),
+        words AS (SELECT message_id, list_position(all_, w) AS at, w FROM (SELECT message_id, {_WORDS} AS all_ FROM posts), unnest(list_distinct(all_)) t(w) WHERE length(w) >= 6),
+        near AS (SELECT phrase, w FROM (SELECT DISTINCT phrase FROM one WHERE length(phrase) >= 6) JOIN (SELECT DISTINCT w FROM words) ON abs(length(w) - length(phrase)) <= 1 AND levenshtein(phrase, w) <= 1),
+        first AS (SELECT message_id, phrase, arg_min(w, at) AS w FROM words JOIN near USING (w) GROUP BY 1, 2),
+        fuzzy AS (SELECT message_id, position, phrase, length(w) AS letters, w <> phrase AS is_fuzzy FROM first JOIN one USING (phrase) WHERE NOT EXISTS (SELECT 1 FROM exact WHERE exact.message_id = first.message_id AND exact.position = one.position))
+        SELECT position::INT AS position, phrase, count(*) FILTER (WHERE NOT is_fuzzy) AS exact, count(*) FILTER (WHERE is_fuzzy) AS fuzzy, sum(letters)::BIGINT AS letters
+        FROM (SELECT *, false AS is_fuzzy FROM exact UNION ALL SELECT * FROM fuzzy) GROUP BY position, phrase""",
     "evaluation_summary": f"""{_PAIRED}, c AS (SELECT k.label, (SELECT count(*) FROM p WHERE p.label = k.label) AS support, (SELECT count(*) FROM p WHERE p.predicted = k.label) AS said, (SELECT count(*) FROM p WHERE p.label = k.label AND p.predicted = k.label) AS hit FROM (VALUES ('good'), ('bad')) k(label)),
         r AS (SELECT support, hit, coalesce(hit / nullif(said, 0), 0) AS a, coalesce(hit / nullif(support, 0), 0) AS b FROM c), f AS (SELECT *, coalesce(2 * a * b / nullif(a + b, 0), 0) AS f1 FROM r)
         SELECT round(sum(hit) / sum(support), 9) AS accuracy, round(avg(a), 9) AS macro_precision, round(avg(b), 9) AS macro_recall, round(avg(f1), 9) AS macro_f1, round(sum(a * support) / sum(support), 9) AS weighted_precision, round(sum(b * support) / sum(support), 9) AS weighted_recall, round(sum(f1 * support) / sum(support), 9) AS weighted_f1 FROM f""",
@@ -371,6 +511,10 @@ ORACLES = {
         SELECT grouped.id AS order_id, gid AS duplicate_group_id, canonical AS canonical_order_id, coalesce(heads.size, CASE WHEN head IS NOT NULL THEN 2 END) AS group_size, method,
             CASE WHEN head IS NOT NULL THEN NULL WHEN s >= 0.42 THEN 'auto_merge' WHEN s >= 0.34 THEN 'manual_review' ELSE 'no_match' END AS semantic_status, CASE WHEN head IS NULL THEN round(s, 4) END AS similarity
         FROM grouped LEFT JOIN heads ON heads.g = gid LEFT JOIN best ON best.id = grouped.id""",
+    "vector_search": """WITH q AS (SELECT [((i % 7) - 3) / 10.0::DOUBLE FOR i IN range(64)] AS q), s AS (SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 4) AS similarity FROM embeddings, q WHERE len(embedding) = 64)
+        SELECT vec_id, similarity FROM s ORDER BY similarity DESC, vec_id LIMIT 20""",
+    "rule_list": "SELECT p_name AS phrase, p_brand AS category, lpad(p_partkey::VARCHAR, 12, '0') AS lang FROM part WHERE p_brand = 'Brand#13'",
+    "subscription_list": "SELECT c_custkey AS subscription_id, c_custkey % 7 AS user_id, TIMESTAMP '2024-01-01' + to_hours((c_custkey % 50)::INT) AS created_at FROM customer WHERE c_custkey % 7 = 3",
     "embedding_backlog": "SELECT vec_id AS order_id, TIMESTAMP '2024-01-01' + to_hours((vec_id % 720)::INT) AS published_at FROM embeddings WHERE vec_id % 4 <= 1 AND vec_id % 3 <> 1",
 }
 

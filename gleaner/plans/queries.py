@@ -385,6 +385,10 @@ _MONEY = rf"(?i)({_NUM})\s*{_SUF}\s*{_CUR}"
 _MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in extract.CURRENCIES.items()) + "}"
 
 
+#: What Java's Unicode word characters are, in the oracle's patterns.
+_MASKED = r"\p{L}\p{M}\p{Nd}\p{Pc}"
+
+
 def _amount(raw: str, suffix: str) -> str:
     return f"TRY_CAST(regexp_replace({raw}, '[^0-9]', '', 'g') AS BIGINT) * CASE WHEN lower({suffix}) IN ('тыс', 'k', 'к') THEN 1000 ELSE 1 END"
 
@@ -442,7 +446,18 @@ ORACLES = {
     "rules_labels": "WITH " + _SIGNALS.replace("{budgets}", _BUDGETS).replace("{contacts}", _CONTACTS) + " SELECT label, round(conf, 4)::DOUBLE AS confidence, conf BETWEEN 0.4 AND 0.6 AS manual_review, count(*) AS posts, sum(CASE WHEN label = 'order' THEN raw ELSE 0 END)::BIGINT AS relevance FROM told GROUP BY ALL",
     "exact_duplicates": "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS canonical, count(*) AS size FROM documents GROUP BY 1 HAVING count(*) > 1",
     "fingerprint_groups": f"WITH {_POSTS} SELECT arg_min(message_id, published_at::VARCHAR || lpad(message_id::VARCHAR, 20, '0')) AS canonical, count(*) AS size FROM posts GROUP BY n, source_id HAVING count(*) > 1",
-    "masked_texts": None,
+    "entity_types": "WITH " + _SIGNALS.split("sig AS (")[0].rstrip(", \n") + f""", e AS (
+        {" UNION ALL ".join(f"SELECT 'keyword' AS type, message_id FROM posts WHERE {_any([r])}" for r in POSITIVE)} UNION ALL {" UNION ALL ".join(f"SELECT 'negative_keyword', message_id FROM posts WHERE {_any([r])}" for r in NEGATIVE)}
+        UNION ALL SELECT 'project_type', message_id FROM hits WHERE niche UNION ALL SELECT 'budget', message_id FROM ({_BUDGETS}) UNION ALL SELECT 'contact', message_id FROM ({_CONTACTS}))
+        SELECT type, count(*) AS n, count(DISTINCT message_id) AS posts FROM e GROUP BY type""",
+    "orders_built": "WITH " + _SIGNALS.replace("/ 86400e6 / 7", "/ 86400e6 / 30").replace("{budgets}", _BUDGETS).replace("{contacts}", _CONTACTS) + f""",
+        made AS (SELECT *, sha256(message_id::VARCHAR) AS id, CASE WHEN contains(n, 'license') THEN 'license' WHEN contains(n, 'free') THEN 'free' WHEN contains(n, 'thing') THEN 'thing' END AS project_type FROM told
+            WHERE label = 'order' AND round(conf, 4) >= 0.6 AND NOT conf BETWEEN 0.4 AND 0.6 AND raw >= 40 AND published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY),
+        g AS (SELECT *, count(*) OVER (PARTITION BY n) AS size, row_number() OVER (PARTITION BY n ORDER BY published_at, -raw, id) AS k FROM made)
+        SELECT message_id, source_id, project_type, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 80) AS title, raw AS relevance_score, size AS group_size, k = 1 AS is_canonical FROM g""",
+    "masked_texts": f"""WITH {_POSTS}, a AS (SELECT message_id, regexp_replace(n, '[{_MASKED}.+-]+@[{_MASKED}-]+(?:\\.[{_MASKED}-]+)+', ' email ', 'g') AS t FROM posts), b AS (SELECT message_id, regexp_replace(t, '@[a-zA-Z][{_MASKED}]{{4,31}}', ' username ', 'g') AS t FROM a),
+        c AS (SELECT message_id, regexp_replace(t, 'https?://[^ ]+|t\\.me/[^ ]+', ' url ', 'g') AS t FROM b), e AS (SELECT message_id, regexp_replace(t, '\\+?\\p{{Nd}}[\\p{{Nd}}\\s()-]{{7,}}\\p{{Nd}}', ' phone ', 'g') AS t FROM c)
+        SELECT message_id, sha256(trim(regexp_replace(t, ' +', ' ', 'g'))) AS masked_sha256 FROM e""",
     "source_links": r"""WITH l AS (SELECT page_id, regexp_extract(url, '://([^./]+)', 1) AS lab, url FROM pages), k AS (
       SELECT page_id, CASE page_id % 5 WHEN 2 THEN 'SOURCE_NOT_PUBLIC' END AS priv, lower(CASE page_id % 5 WHEN 0 THEN lab WHEN 1 THEN lab WHEN 2 THEN 'joinchat' WHEN 3 THEN '' ELSE lab || 'bot' END) AS name, lab FROM l), e AS (
       SELECT page_id, name, CASE WHEN priv IS NOT NULL THEN priv WHEN page_id % 5 = 1 AND (starts_with(lab, 'joinchat') OR starts_with(lab, '+') OR starts_with(lab, 'c')) THEN 'SOURCE_NOT_PUBLIC' WHEN NOT regexp_full_match(name, '[a-z][a-z0-9_]{4,31}') OR ends_with(name, 'bot') THEN 'INVALID_SOURCE_USERNAME' END AS error FROM k)
@@ -470,7 +485,10 @@ ORACLES = {
     "latency_histogram": "SELECT b AS le, count(*) FILTER (WHERE value <= b) AS n FROM events, (SELECT unnest([1.0, 5.0, 10.0, 50.0, 100.0, 500.0, 'inf'::DOUBLE])::DOUBLE AS b) GROUP BY b",
     "rate_limited_deliveries": "SELECT event_id, count(*) OVER w AS recent, count(*) OVER w >= 2 AS limited FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000 RANGE BETWEEN 43200 PRECEDING AND 1 PRECEDING)",
     "similar_cooldown": "SELECT event_id AS order_id, user_id FROM events a WHERE event_type <> 'purchase' AND EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND a.user_id = b.user_id AND a.event_id % 20 = b.event_id % 20 AND a.event_id <> b.event_id AND b.ts >= TIMESTAMP '2024-01-10')",
-    "quiet_hours": None,
+    # the events lie in January, so each zone has one offset
+    "quiet_hours": """WITH e AS (SELECT event_id, ts, CASE WHEN user_id % 2 = 0 THEN INTERVAL 3 HOUR ELSE INTERVAL (-5) HOUR END AS off FROM events), l AS (SELECT *, ts + off AS local FROM e),
+        q AS (SELECT *, strftime(local, '%H:%M:%S') >= '22:00:00' OR strftime(local, '%H:%M:%S') < '07:30:00' AS quiet, date_trunc('day', local)::TIMESTAMP + INTERVAL 450 MINUTE AS morning FROM l)
+        SELECT event_id, quiet, CASE WHEN quiet THEN strftime(CASE WHEN morning <= local THEN morning + INTERVAL 1 DAY ELSE morning END - off, '%Y-%m-%d %H:%M:%S') END AS until FROM q""",
     "streaming_dedup": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     "retention_months": f"WITH {_FEED} SELECT date_trunc('month', published_at)::DATE::VARCHAR AS published_month, count(*) AS rows, date_trunc('month', published_at)::DATE < DATE '1995-10-01' AS expired FROM feed GROUP BY 1, 3",
     "merge_messages": f"""WITH a AS (SELECT doc_id, text, doc_id % 3 <> 0 AS old, doc_id % 3 <> 1 AS new, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || '!' ELSE text END AS t2, doc_id % 11 = 0 AS del FROM documents),

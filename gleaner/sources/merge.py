@@ -102,6 +102,18 @@ def load_rules(rules: DataFrame, kind: str) -> DataFrame:
     return out.withColumn("category", F.lit("negative")) if kind == "negative" else out
 
 
+def list_rules(rules: DataFrame, kind: str | None = None) -> DataFrame:
+    """Dictionary rows by phrase, of one category if given; equal phrases by their language."""
+    out = rules if kind is None else rules.where(F.col("category") == kind)
+    return out.orderBy("phrase", *[c for c in ("lang",) if c in rules.columns])
+
+
+def list_subscriptions(subscriptions: DataFrame, user: object = None) -> DataFrame:
+    """Subscriptions, the newest first, of one user or of all; equal times by key."""
+    out = subscriptions if user is None else subscriptions.where(F.col("user_id") == user)
+    return out.orderBy(F.desc("created_at"), "subscription_id")
+
+
 def insert_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """(all rows, inserted rows): new rows whose key is not there yet, the first of each key."""
     added = new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
@@ -163,8 +175,15 @@ def keep_months(messages: DataFrame, as_of: Column, settings: Settings = DEFAULT
     return messages.where(F.col("published_at") >= F.trunc(F.date_sub(F.to_date(as_of), days), "MM"))
 
 
-def audit_rows(changes: DataFrame, action: str, entity: str, key: str, as_of: Column) -> DataFrame:
-    return changes.select(F.lit(action).alias("action"), F.lit(entity).alias("entity"), F.col(key).cast("string").alias("entity_id"), F.to_json(F.struct(*changes.columns)).alias("payload"), as_of.alias("created_at"))
+def audit_rows(changes: DataFrame, action: str, entity: str, key: str, as_of: Column, correlation: Column | None = None) -> DataFrame:
+    """A row for each change: (action, entity, entity_id, payload, created_at), and correlation_id if what ties the changes of one run together is given."""
+    out = changes.select(F.lit(action).alias("action"), F.lit(entity).alias("entity"), F.col(key).cast("string").alias("entity_id"), F.to_json(F.struct(*changes.columns)).alias("payload"), as_of.alias("created_at"), *([] if correlation is None else [correlation.cast("string").alias("correlation_id")]))
+    return out
+
+
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Add audit rows to the log at path, a folder for each day; what is there stays."""
+    rows.withColumn("created_on", F.to_date("created_at")).write.mode("append").partitionBy("created_on").parquet(path)
 
 
 def quarantine(df: DataFrame, error: str, task: str, key: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
