@@ -477,14 +477,15 @@ ORACLES = {
     "sustained_alerts": """WITH h AS (SELECT event_type AS metric, date_trunc('hour', ts)::TIMESTAMP AS t FROM events GROUP BY 1, 2 HAVING avg(value) > 45),
         r AS (SELECT *, t - to_hours(row_number() OVER (PARTITION BY metric ORDER BY t)::INT) AS run FROM h)
         SELECT metric, min(t) AS pending_from, min(t) + INTERVAL 2 HOUR AS firing_from, max(t) AS until, count(*) AS samples FROM r GROUP BY metric, run HAVING max(t) - min(t) >= INTERVAL 2 HOUR""",
+    # levenshtein counts bytes there, so letters that no phrase has are made one byte each
     "dictionary_matches": f"""WITH {_POSTS}, items AS (SELECT item_id, regexp_split_to_array(lower(text), '\\s+') AS w FROM benchmark),
         one AS (SELECT item_id * 1000 + i - 1 AS position, w[i] AS phrase FROM items, range(1, 999) t(i) WHERE i <= len(w) AND regexp_matches(w[i], '^[a-z]+$')), three AS (SELECT item_id * 1000 + 999 AS position, array_to_string(w[1:3], ' ') AS phrase FROM items),
         runs AS (SELECT DISTINCT message_id, unnest(regexp_extract_all(n, '[\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+')) AS word FROM posts),
         exact AS (SELECT message_id, position, phrase, length(phrase) AS letters FROM one JOIN runs ON word = phrase
             UNION ALL SELECT message_id, position, phrase, length(phrase) FROM three JOIN posts ON contains(n, phrase) WHERE regexp_matches(n, '{_EDGE_L}' || regexp_escape(phrase) || '{_EDGE_R}')),
-        words AS (SELECT message_id, list_position(all_, w) AS at, w FROM (SELECT message_id, {_WORDS} AS all_ FROM posts), unnest(list_distinct(all_)) t(w) WHERE length(w) >= 6),
-        near AS (SELECT phrase, w FROM (SELECT DISTINCT phrase FROM one WHERE length(phrase) >= 6) JOIN (SELECT DISTINCT w FROM words) ON abs(length(w) - length(phrase)) <= 1 AND levenshtein(phrase, w) <= 1),
-        first AS (SELECT message_id, phrase, arg_min(w, at) AS w FROM words JOIN near USING (w) GROUP BY 1, 2),
+        words AS (SELECT message_id, list_position(all_, w) AS spot, w FROM (SELECT message_id, {_WORDS} AS all_ FROM posts), unnest(list_distinct(all_)) t(w) WHERE length(w) >= 6),
+        near AS (SELECT phrase, w FROM (SELECT DISTINCT phrase FROM one WHERE length(phrase) >= 6) JOIN (SELECT DISTINCT w FROM words) ON abs(length(w) - length(phrase)) <= 1 AND levenshtein(phrase, regexp_replace(w, '[^ -~]', '?', 'g')) <= 1),
+        first AS (SELECT message_id, phrase, arg_min(w, spot) AS w FROM words JOIN near USING (w) GROUP BY 1, 2),
         fuzzy AS (SELECT message_id, position, phrase, length(w) AS letters, w <> phrase AS is_fuzzy FROM first JOIN one USING (phrase) WHERE NOT EXISTS (SELECT 1 FROM exact WHERE exact.message_id = first.message_id AND exact.position = one.position))
         SELECT position::INT AS position, phrase, count(*) FILTER (WHERE NOT is_fuzzy) AS exact, count(*) FILTER (WHERE is_fuzzy) AS fuzzy, sum(letters)::BIGINT AS letters
         FROM (SELECT *, false AS is_fuzzy FROM exact UNION ALL SELECT * FROM fuzzy) GROUP BY position, phrase""",
