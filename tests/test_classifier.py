@@ -11,7 +11,7 @@ from gleaner.functions import text
 from gleaner.functions.rules import LABELS
 from gleaner.operators import ml
 
-THINGS = ["кофейни", "школы танцев", "автосервиса", "турфирмы", "пекарни", "клиники", "юриста", "фотографа", "склада", "питомника"]
+THINGS = ["кофейни", "школы танцев", "автосервиса", "турфирмы", "пекарни", "клиники", "юриста"]
 SAID = {
     "order": ["нужен лендинг для {x}, бюджет 50 000 руб", "ищу разработчика, сделать сайт {x}, срочно", "требуется интернет-магазин для {x}, пишите @client_box"],
     "service_ad": ["делаю сайты недорого, в том числе для {x}", "моё портфолио: сайты для {x}, возьму заказ"],
@@ -44,8 +44,9 @@ def test_model_and_rules_on_the_same_texts(spark, labelled, tmp_path):
     ml.save_model(spark, model, str(tmp_path / "m"), LABELS, {}, "x")
     again = ml.load_model(spark, str(tmp_path / "m"), LABELS)
     assert isinstance(again, PipelineModel) and [type(s) for s in again.stages] == [type(s) for s in model.stages]
-    both = ml.predict(model, labelled).alias("a").join(ml.predict(again, labelled).alias("b"), "text_hash")
-    assert both.where("a.predicted <> b.predicted or abs(a.p - b.p) > 1e-9").count() == 0
+    some = labelled.where(F.col("text").contains("пекарни"))
+    told, told_again = ({r.text: (r.predicted, round(r.p, 9)) for r in ml.predict(m, some).collect()} for m in (model, again))
+    assert told == told_again and len(told) == sum(map(len, SAID.values()))
 
 
 def test_weights_are_sublinear_and_smoothed(spark):
