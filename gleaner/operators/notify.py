@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,11 +16,17 @@ from gleaner.sources.scratch import dropped, stored
 #: Candidates that one task decides one after the other, about.
 PART = 1 << 18
 
-#: Up to so many subscriptions are broadcast to the orders; more are shuffled by key.
-FEW = 20_000
-#: Wide enough for the mean of two amounts of decimal(14,2), and as fast to compare as a long.
+#: Up to so many subscriptions that name sources, and so many of the others, are broadcast to the orders; more are shuffled by key.
+FEW, WIDE = 20_000, 200_000
+#: Subscriptions of a user that are held against each other at a time, to leave out those that can never be the first to fit.
+CHUNK = 4096
+#: Orders of a task that collects what fits them, about.
+ORDERS = 1 << 15
+#: Wide enough for the mean of two amounts of decimal(14,2).
 MONEY = "decimal(18,4)"
 LISTS = ("types", "sources", "currencies_", "yes", "no")
+#: Limits of a subscription as whole numbers.
+BOUNDS = ("least", "low", "high", "below", "days")
 
 
 def in_quiet_hours(at: Column, start: Column, end: Column, zone: Column) -> Column:
@@ -48,11 +55,16 @@ def _listed(values: Column, value: Column) -> Column:
     return (F.coalesce(F.size(values), F.lit(0)) <= 0) | F.coalesce(F.array_contains(values, value), F.lit(False))
 
 
+def _cents(amount: Column) -> Column:
+    """Ten thousandths, as a long: faster to compare than a decimal."""
+    return (amount.cast(MONEY) * 10_000).cast("long")
+
+
 def _limits(subscriptions: DataFrame) -> DataFrame:
     """Enabled subscriptions as `s`, with their filters in one form: empty lists for null ones, words normalised, currencies in upper case, and `rank` within the user.
 
     Of a user's subscriptions that differ only in their least budget, a later one that asks for no less than an earlier
-    one can never be the first to fit, so it is left out.
+    one can never be the first to fit, so it is left out; another fits only `below` what the earlier ones ask.
     """
     tidy = lambda c, f=None: F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast(dict(subscriptions.dtypes)[c])), f) if f else F.coalesce(F.col(c), F.array().cast(dict(subscriptions.dtypes)[c]))))
     words = lambda k: normalize_text(k, False)
@@ -61,50 +73,102 @@ def _limits(subscriptions: DataFrame) -> DataFrame:
     same = Window.partitionBy("user_id", *lists, "min_relevance_score", "budget_max", "freshness_days").orderBy("created_at", "subscription_id")
     least = F.coalesce(F.col("budget_min").cast("decimal(38,2)"), F.lit(-1).cast("decimal(38,2)"))
     before = F.min(least).over(same.rowsBetween(Window.unboundedPreceding, -1))
-    subs = subs.withColumn("__open", before.isNull() | (least < before)).where("__open")
+    subs = subs.withColumn("__below", before).where(F.col("__below").isNull() | (least < F.col("__below")))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy("created_at", "subscription_id"))
-    return subs.select("s", *lists, rank.alias("rank"), F.col("user_id").alias("user"))
+    bounds = [F.col("s.min_relevance_score").alias("least"), _cents(F.col("s.budget_min")).alias("low"), _cents(F.col("s.budget_max")).alias("high"), _cents(F.col("__below")).alias("below"), F.col("s.freshness_days").alias("days")]
+    return subs.select("s", *lists, *bounds, rank.alias("rank"), F.col("user_id").alias("user"))
+
+
+def _first_to_fit(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rows that no earlier one makes pointless by letting through all that they do: each list of it the same or empty, each bound as wide."""
+    rows = rows.sort_values("rank")
+    told = rows.drop(columns=["user", "rank", "chunk"]).to_numpy(np.int64)
+    kept, n, fits, lists = np.empty_like(told), 0, np.zeros(len(told), bool), len(LISTS)
+    for i, own in enumerate(told):
+        others = kept[:n]
+        if not (((others[:, :lists] == own[:lists]) | (others[:, :lists] == 0)).all(1) & (others[:, lists:] <= own[lists:]).all(1)).any():
+            kept[n], fits[i] = own, True
+            n += 1
+    return rows.loc[fits, ["user", "rank"]]
+
+
+def without_pointless(limits: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """limits without the subscriptions that can't be the first of their user to fit any order, as far as chunks of a user's subscriptions tell.
+
+    Taken in the order of their ranks, twice: what a chunk leaves is dealt into chunks again.
+    """
+    wide = F.lit(2**63 - 1)
+    named = [F.when(F.size(c) > 0, F.xxhash64(F.to_json(c))).otherwise(F.lit(0).cast("long")).alias(c) for c in LISTS]
+    bounds = [F.coalesce(c, -wide).alias(n) for n, c in {"least": _cents(F.col("least")), "low": F.col("low"), "high": -F.col("high"), "days": -F.col("days").cast("long")}.items()]
+    rows = limits.select("user", "rank", *named, *bounds)
+    kind, kept = dict(limits.dtypes), limits
+    for _ in range(2):
+        nth = F.row_number().over(Window.partitionBy("user").orderBy("rank"))
+        dealt = rows.join(kept.select("user", "rank"), ["user", "rank"], "left_semi").withColumn("chunk", F.floor((nth - 1) / chunk))
+        kept = stored(dealt.groupBy("user", "chunk").applyInPandas(_first_to_fit, f"user {kind['user']}, rank int"), "limits")
+    return limits.join(kept, ["user", "rank"], "left_semi")
 
 
 def match_pairs(orders: DataFrame, subscriptions: DataFrame, as_of: Column, compose: bool = True) -> DataFrame:
     """(order_id, subscription): for each order and user the earliest of the user's enabled subscriptions that the order fits.
 
-    Orders meet subscriptions on keys: a subscription stands under its sources if it names any, else its project types,
-    else its currencies, else alone, each but the first with the band of ten that its least relevance lies in; an order has
-    its own source, and its type, its currency and nothing with all bands up to its own.  So a pair is made only where the
-    narrowest list and the relevance fit, and a type or currency that all orders share is several keys.  The
-    earliest one of a user is a minimum of ranks with partial aggregation.  Subscriptions are broadcast up to FEW of them.
+    Subscriptions that a user's earlier ones make pointless are left out first.  Orders meet the others on keys: a
+    subscription stands under its sources if it names any, else its project types, else its currencies, else alone; an
+    order has its own source, its type, its currency and nothing.  Subscriptions without sources are broadcast up to WIDE
+    of them, to orders that were dealt by their id, so that the earliest one of a user is a minimum of ranks without a
+    further shuffle.  More are shuffled by key and by the band of ten that their least relevance lies in, as an order has
+    its keys with all bands up to its own.  Those with sources are broadcast up to FEW, else shuffled by source.
     """
     text = normalize_text(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")), F.coalesce("normalized_text", F.lit(""))), compose)
     key = lambda kind, value: F.concat(F.lit(f"{kind}:"), value.cast("string"))
-    band = lambda score: F.greatest(F.lit(0), F.least(F.lit(10), F.floor(F.coalesce(score, F.lit(0)) / 10))).cast("int")
-    currency = F.upper("budget_currency")
+    currency, amount = F.upper("budget_currency"), _cents(representative_budget(F.col("budget_from"), F.col("budget_to")))
+    far, or_ = F.lit(1 << 61), F.coalesce
     left = orders.select(
-        "order_id", "source_id", "project_type", "relevance_score", currency.alias("currency"), representative_budget(F.col("budget_from"), F.col("budget_to")).cast(MONEY).alias("amount"), F.unix_seconds("published_at").alias("at"), text.alias("text"),
+        "order_id", "source_id", "project_type", "relevance_score", currency.alias("currency"), text.alias("text"), or_(F.col("relevance_score").cast("double"), F.lit(float("-inf"))).alias("score"), or_(amount, -far).alias("from"), or_(amount, far).alias("to"), or_(F.unix_seconds("published_at"), -far).alias("at"),
     )
-    banded = lambda value, b: F.concat(value, F.lit("|"), b.cast("string"))
-    kinds = F.array(key("type", F.col("project_type")), key("currency", F.col("currency")), F.lit("any"))
-    own = F.concat(F.array(key("source", F.col("source_id"))), F.flatten(F.transform(F.sequence(F.lit(0), band(F.col("relevance_score"))), lambda b: F.transform(kinds, lambda k: banded(k, b)))))
-    left = left.withColumn("key", F.explode(F.filter(own, lambda k: k.isNotNull())))
-    subs = _limits(subscriptions)
-    least = band(F.col("s.min_relevance_score"))
-    listed = lambda kind, c: F.transform(c, lambda v: banded(key(kind, v), least))
-    under = (
-        F.when(F.size("sources") > 0, F.transform("sources", lambda v: key("source", v))).when(F.size("types") > 0, listed("type", F.col("types")))
-        .when(F.size("currencies_") > 0, listed("currency", F.col("currencies_"))).otherwise(F.array(banded(F.lit("any"), least)))
-    )
-    few = subscriptions.count() <= FEW
-    right = subs.select("user", "rank", *LISTS, *[F.col(f"s.{c}").alias(c) for c in ("min_relevance_score", "freshness_days")], *[F.col(f"s.{c}").cast(MONEY).alias(c) for c in ("budget_min", "budget_max")], F.explode(under).alias("key"))
-    ok = lambda limit, test: F.col(limit).isNull() | F.coalesce(test, F.lit(False))
-    fits = (
-        ok("min_relevance_score", left["relevance_score"] >= F.col("min_relevance_score")) & ok("budget_min", F.col("amount") >= F.col("budget_min")) & ok("budget_max", F.col("amount") <= F.col("budget_max"))
-        & ok("freshness_days", F.col("at") >= F.unix_seconds(as_of) - F.col("freshness_days") * 86400)
-        & _listed(F.col("types"), F.col("project_type")) & _listed(F.col("sources"), F.col("source_id")) & _listed(F.col("currencies_"), F.col("currency"))
+    # what an order lacks is further out than any limit, and a limit that a subscription lacks is further out still, so numbers are compared without nulls
+    bounds = [
+        or_(F.col("least").cast("double"), F.lit(float("-inf"))).alias("least"), or_(F.col("low"), -2 * far).alias("low"), or_(F.col("high"), 2 * far).alias("high"), or_(F.col("below"), 2 * far).alias("below"),
+        or_(F.unix_seconds(as_of) - F.col("days").cast("long") * 86400, -2 * far).alias("since"),
+    ]
+    subs = stored(_limits(subscriptions), "limits")
+    if subs.count() > CHUNK:
+        subs = stored(without_pointless(subs), "limits")
+    everywhere, few = subs.where(F.size("sources") <= 0), subs.count() <= FEW
+    wide = everywhere.count()
+    placed = subs.where(F.size("sources") > 0).select("user", "rank", *LISTS, *bounds, F.explode("sources").alias("source")).withColumn("key", key("source", F.col("source"))).drop("source")
+    sourced = placed.count()
+
+    numbers = (F.col("score") >= F.col("least")) & (F.col("from") >= F.col("low")) & (F.col("from") < F.col("below")) & (F.col("to") <= F.col("high")) & (F.col("at") >= F.col("since"))
+    listed = (
+        _listed(F.col("types"), F.col("project_type")) & _listed(F.col("sources"), F.col("source_id")) & _listed(F.col("currencies_"), F.col("currency"))
         & ~keyword_hit(F.col("text"), F.col("no")) & ((F.size("yes") <= 0) | keyword_hit(F.col("text"), F.col("yes")))
     )
-    first = left.join(F.broadcast(right) if few else right, "key").where(fits).groupBy("order_id", "user").agg(F.min("rank").alias("rank"))
+    met = []
+    if wide:
+        kinds = F.array(key("type", F.col("project_type")), key("currency", F.col("currency")), F.lit("any"))
+        asked = lambda rows: rows.withColumn("key", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
+        keys = lambda kind, c: F.transform(c, lambda v: key(kind, v))
+        under = F.when(F.size("types") > 0, keys("type", F.col("types"))).when(F.size("currencies_") > 0, keys("currency", F.col("currencies_"))).otherwise(F.array(F.lit("any")))
+        if wide <= WIDE:
+            # lists and words are asked once for all subscriptions that share them
+            parts = max(int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-orders.count() // ORDERS))
+            shared = stored(everywhere.select(*LISTS).distinct().withColumn("set", F.monotonically_increasing_id()), "limits")
+            same = reduce(Column.__and__, [everywhere[c] == shared[c] for c in LISTS])
+            right = everywhere.join(F.broadcast(shared), same).select("set", "user", "rank", *bounds)
+            sets = asked(left.repartition(parts, "order_id")).join(F.broadcast(shared.select("set", *LISTS, F.explode(under).alias("key"))), "key").where(listed)
+            met.append(sets.select("order_id", "set", "score", "from", "to", "at").join(F.broadcast(right), "set").where(numbers))
+        else:
+            band = lambda score: F.greatest(F.lit(0), F.least(F.lit(10), F.floor(F.coalesce(score, F.lit(0)) / 10))).cast("int")
+            right = everywhere.select("user", "rank", *LISTS, band(F.col("least")).alias("band"), *bounds, F.explode(under).alias("key"))
+            met.append(asked(left).withColumn("band", F.explode(F.sequence(F.lit(0), band(F.col("relevance_score"))))).join(right, ["key", "band"]).where(numbers & listed))
+    if sourced or not met:
+        met.append(left.withColumn("key", key("source", F.col("source_id"))).join(F.broadcast(placed) if sourced <= FEW else placed, "key").where(numbers & listed))
+    first = [m.groupBy("order_id", "user").agg(F.min("rank").alias("rank")) for m in met]
+    if len(first) > 1:
+        first = [reduce(DataFrame.unionByName, first).groupBy("order_id", "user").agg(F.min("rank").alias("rank"))]
     named = subs.select("user", "rank", F.col("s").alias("subscription"))
-    return first.join(F.broadcast(named) if few else named, ["user", "rank"]).select("order_id", "subscription")
+    return first[0].join(F.broadcast(named) if few else named, ["user", "rank"]).select("order_id", "subscription")
 
 
 def match_subscriptions(orders: DataFrame, subscriptions: DataFrame, as_of: Column, compose: bool = True) -> DataFrame:
