@@ -90,3 +90,14 @@ def test_deferred_deliveries_come_out_at_their_time(spark, tmp_path):
     time.sleep(max(0, (soon - datetime.now()).total_seconds()) + 1)
     stream.land([(8, 100, 1, START)])
     assert sorted((r[0], r[4]) for r in stream.run(release)) == [("2", "send"), ("3", "skipped"), ("4", "skipped"), ("8", "send")]
+
+
+def test_many_deliveries_share_a_group_and_its_timer(spark, tmp_path):
+    stream = Stream(spark, tmp_path, "delivery_id long, order_id long, user_id long, scheduled_for timestamp")
+    users, notifiable = spark.createDataFrame([(1, True)], "user_id long, is_active boolean"), spark.createDataFrame([(100,)], "order_id long")
+    release = lambda s: limits.timed_release(s, notifiable, users, groups=2)
+    late = datetime.now() + timedelta(days=1)
+    stream.land([(i, 100, 1, START if i % 3 else late) for i in range(300)])
+    assert len(stream.run(release)) == 200
+    stream.land([(i, 100, 1, START) for i in range(0, 90, 3)])  # waiting ones that are put in again, due by now
+    assert sorted(int(r[0]) for r in stream.run(release)) == list(range(0, 90, 3))
