@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import HIT, LETTER, Rule, check_rules, keyword_hits
+from gleaner.sources.scratch import stored
 
 #: Single words of so many letters or more are matched within one edit.
 LEAST_FUZZY = 6
@@ -25,7 +26,7 @@ _WORDS = rf"(?iU){LETTER}+"
 
 
 def rule_table(rules: DataFrame) -> DataFrame:
-    """rules(position, phrase, weight, category) with the phrase in lower case (plain), its pattern, its first word and whether it is that word alone.
+    """rules(position, phrase, weight, category) with the phrase in lower case (plain) and with single spaces (tight), its pattern, its first word and whether it is that word alone.
 
     Phrases without a word are left out.
     """
@@ -33,7 +34,7 @@ def rule_table(rules: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(F.split(F.col("plain"), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"(?U)([^\w\s])", r"\\$1")), r"\s+")
     words = F.regexp_extract_all("plain", F.lit(_WORDS), F.lit(0))
     told = rules.select("position", "phrase", "weight", "category", plain.alias("plain")).where(F.size(words) > 0)
-    return told.withColumns({"pattern": F.concat(F.lit(f"(?iU)(?<!{LETTER})"), body, F.lit(f"(?!{LETTER})")), "word": words[0], "single": words == F.array("plain")})
+    return told.withColumns({"tight": F.regexp_replace("plain", r"(?U)\s+", " "), "pattern": F.concat(F.lit(f"(?iU)(?<!{LETTER})"), body, F.lit(f"(?!{LETTER})")), "word": words[0], "single": words == F.array("plain")})
 
 
 def deletions(word: Column) -> Column:
@@ -48,13 +49,18 @@ def _hit(matched: str, fuzzy: Column, distance: Column) -> Column:
 
 
 def exact_hits(posts: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, hit) for the phrases that stand in a text: the first match of each."""
-    words = posts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)))).alias("word"))
+    """(key, hit) for the phrases that stand in a text: the first match of each.
+
+    A text whose white space is single spaces is searched with a phrase's pattern only if it holds the phrase as it is.
+    """
+    words = stored(posts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0)))).alias("word")), "words")
     met = words.join(table.where("single"), "word").select(key, _hit("word", F.lit(False), F.lit(0)))
     longer = table.where("not single")
-    asked = words.join(longer, "word").groupBy(key).agg(F.collect_list(F.struct("position", "phrase", "weight", "category", "pattern")).alias("rules"))
-    found = posts.select(key, text).join(asked, key).withColumn("m", F.expr(f"filter(transform(rules, r -> named_struct('r', r, 'found', regexp_extract(`{text}`, r.pattern, 0))), x -> x.found <> '')"))
-    met_longer = found.select(key, F.explode("m").alias("m")).select(key, "m.r.*", "m.found")
+    asked = words.join(longer, "word").groupBy(key).agg(F.collect_list(F.struct("position", "phrase", "weight", "category", "pattern", "tight")).alias("rules"))
+    found = posts.select(key, text).join(asked, key).withColumn("loose", F.col(text).rlike(r"(?U)\s\s|[^\S ]"))
+    held = f"filter(rules, r -> loose or contains(`{text}`, r.tight))"
+    found = found.withColumn("m", F.expr(f"filter(transform({held}, r -> named_struct('r', r, 'found', regexp_extract(`{text}`, r.pattern, 0))), x -> x.found <> '')"))
+    met_longer = found.select(key, F.explode("m").alias("m")).select(key, "m.r.position", "m.r.phrase", "m.r.weight", "m.r.category", "m.found")
     return met.unionByName(met_longer.select(key, _hit("found", F.lit(False), F.lit(0))))
 
 
@@ -70,7 +76,7 @@ def near_words(words: DataFrame, table: DataFrame) -> DataFrame:
 def fuzzy_hits(posts: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
     """(key, hit): of each phrase the first word of a text within one edit."""
     every = F.regexp_extract_all(text, F.lit(r"(?iU)[\wа-яёіїєґ-]+"), F.lit(0))
-    words = posts.select(key, F.posexplode(every).alias("at", "word")).where(F.length("word") >= LEAST_FUZZY)
+    words = stored(posts.select(key, F.posexplode(every).alias("at", "word")).where(F.length("word") >= LEAST_FUZZY), "words")
     near = near_words(words.select("word").distinct(), table)
     first = words.join(near, "word").groupBy(key, "position").agg(F.min(F.struct("at", "word", "distance")).alias("w")).select(key, "position", "w.*")
     told = first.join(table.select("position", "phrase", "weight", "category"), "position")
@@ -83,7 +89,8 @@ def dictionary_hits(posts: DataFrame, rules: list[Rule] | DataFrame, key: str, t
     posts has a unique key and normalised texts (lower case).  rules is a list, or a table (position, phrase, weight, category)
     of phrases that hold a word each.  Rows with a null key or text have no hits.
     """
-    posts, compiled, places = posts.select(key, text).where(F.col(key).isNotNull()), [], []
+    # what makes the texts, and their words, are read by several joins
+    posts, compiled, places = stored(posts.select(key, text).where(F.col(key).isNotNull()), "texts"), [], []
     if isinstance(rules, list):
         check_rules(rules)
         places = [i for i, r in enumerate(rules) if r.is_regex or not re.search(r"\w", r.phrase)]

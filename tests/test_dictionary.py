@@ -74,3 +74,12 @@ def test_equals_the_compiled_form(spark):
 def test_deletions(spark):
     got = spark.createDataFrame([("abb",), ("a",)], "w string").select(deletions(F.col("w")).alias("d")).collect()
     assert [sorted(r.d) for r in got] == [["ab", "abb", "bb"], ["", "a"]]
+
+
+def test_a_pattern_runs_only_where_the_phrase_may_stand(spark, capsys):
+    rules = [Rule("the last  one"), Rule("the first")]
+    texts = spark.createDataFrame([(0, "the other"), (1, "in the last one"), (2, "the  last\tone"), (3, "the lastone")], "k long, t string")
+    found = dictionary_hits(texts, rules, "k", "t", fuzzy=False)
+    assert {(r.k, r.position, r.matched_text) for r in found.collect()} == {(1, 0, "the last one"), (2, 0, "the  last\tone")}
+    found.explain(True)
+    assert "contains" in capsys.readouterr().out.lower()
