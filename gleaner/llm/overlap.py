@@ -46,8 +46,8 @@ LEAST = (4, 5)
 FAR = 38
 #: Buckets of up to so many classes are compared pair by pair; larger ones are opened by rare shingles.
 SMALL = 32
-#: Shingles that every task knows of, and how often one occurs at least to be among them.
-HEAVY, FEW = 1 << 16, 64
+#: Most counters of shingles that every task knows.
+SLOTS = 1 << 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, 2 * PARTS + 1, np.uint64)
 
@@ -180,41 +180,47 @@ def _hard(members: DataFrame, rooted: DataFrame) -> DataFrame:
     return told.join(several, "bucket").select("fp").distinct()
 
 
+def counters(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets(fp, shingles) fall into each slot; a shingle's slot is its last bits, and occurs no more often than that.
+
+    About two slots for each occurrence, SLOTS at most whatever the input.
+    """
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    slots = min(SLOTS, 1 << max(10, (2 * total).bit_length()))
+    each = sets.select(F.explode("shingles").alias("shingle")).groupBy(F.col("shingle").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot"))
+    found = each.agg(F.count("*").alias("n")).where("n > 1").toPandas()
+    out = np.ones(slots, np.int32)
+    out[found["slot"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
+    return out
+
+
 def first_shingles(sets: DataFrame) -> DataFrame:
     """(shingle, fp, size, left): of each set(fp, shingles) the shingles, the rarest first, as far as another set that overlaps enough may share none before.
 
-    left counts the shingle at hand and those after it; it is never under LEAST of the size.  A shingle that no other set
-    has opens nothing: those stand first, so it is enough to know how many a set has of them.  The most frequent ones, HEAVY
-    at most whatever the input, are known to every task; only the others are joined with how often they occur, so what
-    all sets share is never shuffled.
+    left counts the shingle at hand and those after it; it is never under LEAST of the size.  Any order does that is the same
+    in all sets; shingles are ordered by the counts of their slots, which every task knows, so none is joined or shuffled
+    but those that open.  A shingle alone in its slot is no other set's and opens nothing: those stand first, so it is
+    enough to know how many a set has of them.
     """
     top, of = LEAST
-    each = sets.select("fp", F.explode("shingles").alias("shingle"))
-    often = stash(each.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1"), "often")
-    limit = max(FEW, (often.agg(F.sum("often")).first()[0] or 0) // HEAVY)  # so many occurrences or more: HEAVY shingles at most
-    known = often.where(F.col("often") > limit).toPandas().sort_values("shingle")
-    shingle, times = known["shingle"].to_numpy(np.int64), known["often"].to_numpy(np.int64)
+    often = counters(sets)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            heavy, light = [], []
+            size, left, first = [], [], []
             for found in b["shingles"]:
-                at = np.minimum(np.searchsorted(shingle, found), max(0, len(shingle) - 1))
-                is_heavy = shingle[at] == found if len(shingle) else np.zeros(len(found), bool)
-                order = np.lexsort((found[is_heavy], times[at[is_heavy]]))
-                heavy.append(found[is_heavy][order])
-                light.append(found[~is_heavy])
-            yield pd.DataFrame({"fp": b["fp"], "size": [len(f) for f in b["shingles"]], "heavy": heavy, "light": light})
-
-    told = stash(sets.select("fp", "shingles").mapInPandas(split, "fp long, size int, heavy array<long>, light array<long>"), "split")
-    some = told.select("fp", F.explode("light").alias("shingle")).join(often.where(F.col("often") <= limit), "shingle")
-    ranked = some.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("often", "shingle")))["shingle"].alias("ranked"))
-    every = F.concat(F.coalesce("ranked", F.array().cast("array<bigint>")), "heavy")
-    # to overlap with a fitting set, at least this share of the own shingles must be left; what is in `every` are the last
-    least = F.ceil(F.col("size") * F.lit(top) / of).cast("int")
-    first = told.join(ranked, "fp", "left").select("fp", "size", every.alias("every")).withColumn("n", F.size("every")).where(F.col("n") >= least)
-    opened = first.select("fp", "size", "n", F.posexplode(F.slice("every", F.lit(1), F.col("n") - least + 1)).alias("pos", "shingle"))
-    return opened.select("shingle", "fp", "size", (F.col("n") - F.col("pos")).alias("left"))
+                times = often[found & (len(often) - 1)]
+                shared = times > 1
+                n, least = int(shared.sum()), -(-len(found) * top // of)  # so many must be left to overlap with a fitting set
+                ranked = found[shared][np.lexsort((found[shared], times[shared]))]
+                size.append(len(found))
+                left.append(n)
+                first.append(ranked[: max(0, n - least + 1)])
+            yield pd.DataFrame({"fp": b["fp"], "size": size, "n": left, "first": first})
+
+    told = sets.select("fp", "shingles").mapInPandas(opened, "fp long, size int, n int, first array<long>")
+    each = told.select("fp", "size", "n", F.posexplode("first").alias("pos", "shingle"))
+    return each.select("shingle", "fp", "size", (F.col("n") - F.col("pos")).alias("left"))
 
 
 def _fits(x: str, y: str) -> str:
