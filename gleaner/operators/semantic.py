@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -57,20 +59,30 @@ def order_embedding_text(compose: bool = True) -> Column:
 def hashed_vectors(rows: DataFrame, key: str, tokens: str, dimension: int) -> DataFrame:
     """(key, vector): what hash_embedding gives for the array column tokens, for texts of any length; rows without tokens are left out.
 
-    Each token becomes a slot and a sign once; these are summed by (row, slot), so only what is not zero is carried, and the
-    dense vector is filled up from the row's slots in their order.  key is one row's own.
+    A batch's distinct tokens are hashed once, and all tokens are counted by (row, slot) at once; no row leaves its task.
     """
-    hashed = rows.select(key, F.explode(tokens).alias("t")).select(key, F.sha2(F.col("t").cast("binary"), 256).alias("h"))
-    slot = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(dimension).cast("long")).cast("int")
-    # the tenth digit is even for one of two
-    sign = F.when(F.substring("h", 10, 1).isin(*"02468ace"), 1).otherwise(-1)
-    sums = hashed.select(key, slot.alias("slot"), sign.alias("sign")).groupBy(key, "slot").agg(F.sum("sign").cast("double").alias("x"))
-    told = sums.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "x"))).alias("slots"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    gap = lambda a, b: F.array_repeat(F.lit(0.0), b - a - 1)
-    before = lambda i: F.coalesce(F.get("slots", i - 1)["slot"], F.lit(-1))
-    value = lambda e: F.when(F.col("norm") > 0, e["x"] / F.col("norm")).otherwise(e["x"])
-    filled = F.flatten(F.transform("slots", lambda e, i: F.concat(gap(before(i), e["slot"]), F.array(value(e)))))
-    return told.select(key, F.concat(filled, gap(F.try_element_at("slots", F.lit(-1))["slot"], F.lit(dimension))).alias("vector"))
+
+    def hashed(token: str) -> tuple[int, float]:
+        h = hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
+        return int(h[:8], 16) % dimension, 1.0 if int(h[9], 16) % 2 == 0 else -1.0  # the tenth digit is even for one of two
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, CHUNK):
+                batch = whole.slice(at, CHUNK)
+                lists = batch.column(1)
+                n, sizes = len(lists), np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+                words = lists.flatten().dictionary_encode()
+                told = np.array([hashed(w) for w in words.dictionary.to_pylist()]).reshape(-1, 2)[words.indices.to_numpy(zero_copy_only=False)]
+                places = np.repeat(np.arange(n), sizes) * dimension + told[:, 0].astype(np.int64)
+                sums = np.bincount(places, told[:, 1], n * dimension).reshape(n, dimension)
+                norm = np.sqrt((sums * sums).sum(axis=1))
+                vectors = (sums / np.where(norm > 0, norm, 1.0)[:, None])[sizes > 0]
+                offsets = pa.array(np.arange(len(vectors) + 1) * dimension, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(sizes > 0)), pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))], [key, "vector"])
+
+    kind = f"`{key}` {dict(rows.dtypes)[key]}, vector array<double>"
+    return rows.select(key, F.filter(tokens, lambda t: t.isNotNull()).alias("tokens")).mapInArrow(run, kind)
 
 
 def embed_orders(orders: DataFrame, embed: Callable[[pd.Series], pd.Series] | None = None, dimension: int = 384) -> DataFrame:
