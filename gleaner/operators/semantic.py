@@ -24,6 +24,12 @@ NEGATIVE_MARKERS = r"(?U)\b(выполню|портфолио|резюме|ищ
 
 #: Vectors of a block that are scored against as many others at a time.
 CHUNK = 1024
+#: Most tasks that pairs of chunks are dealt to, one pair each until then.
+MOST_TASKS = 20_000
+
+
+def _tasks(cells: int | None) -> int:
+    return max(1, min(cells or 0, MOST_TASKS))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -189,11 +195,13 @@ def similar_pairs(vectors: DataFrame, key: str, vector: str, block: str, least:
     rows = vectors.select(F.col(block).alias("__block"), F.col(key).alias("__key"), F.col(vector).cast("array<double>").alias("__v"))
     rows = rows.where("__block is not null and __key is not null").withColumn("__norm", F.sqrt(dot(F.col("__v"), F.col("__v")))).where((F.col("__norm") > 0) & (F.col("__norm") < float("inf")))
     rows, blocks = rows.withColumn("__size", F.size("__v")), ["__block", "__size"]
-    sizes = rows.groupBy(blocks).agg(F.ceil(F.count("*") / chunk).alias("__chunks"))
+    sizes = stored(rows.groupBy(blocks).agg(F.ceil(F.count("*") / chunk).alias("__chunks")), "blocks")
+    tasks = _tasks(sizes.agg(F.sum(F.col("__chunks") * F.col("__chunks"))).first()[0])
     dealt = rows.join(sizes, blocks).withColumn("__own", F.pmod(F.xxhash64("__key"), F.col("__chunks"))).withColumn("__met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__chunks") - 1)))
     # columns are named anew on each side, as both come from one table
     anew = lambda **names: dealt.select(*[F.col(c).alias(n) for n, c in names.items()])
-    side = lambda i, j: anew(b=blocks[0], n=blocks[1], i=i, j=j, __key="__key", __v="__v", __norm="__norm").groupBy("b", "n", "i", "j")
+    cell = ["b", "n", "i", "j"]
+    side = lambda i, j: anew(b=blocks[0], n=blocks[1], i=i, j=j, __key="__key", __v="__v", __norm="__norm").repartition(tasks, *cell).groupBy(*cell)
     pairs = side("__own", "__met").cogroup(side("__met", "__own")).applyInPandas(_compared(key, least, most), f"`{key}` {kind}, other {kind}, similarity double")
     if most is not None:
         near = Window.partitionBy(key).orderBy(F.desc("similarity"), "other")
@@ -221,7 +229,9 @@ def _meeting(left: DataFrame, right: DataFrame, chunk: int, scored: Callable[[pd
         return told.drop("lefts", "rights")
 
     cell = ["block", "i", "j"]
-    return dealt(left, "lefts", "rights", "i", "j").groupBy(*cell).cogroup(dealt(right, "rights", "lefts", "j", "i").groupBy(*cell)).applyInPandas(scored, schema)
+    tasks = _tasks(sizes.agg(F.sum(F.col("lefts") * F.col("rights"))).first()[0])
+    side = lambda rows: rows.repartition(tasks, *cell).groupBy(*cell)
+    return side(dealt(left, "lefts", "rights", "i", "j")).cogroup(side(dealt(right, "rights", "lefts", "j", "i"))).applyInPandas(scored, schema)
 
 
 def _nearest(most: int, window: int, earlier: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
