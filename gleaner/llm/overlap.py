@@ -14,7 +14,7 @@ each distinct one emits all variants within half the radius of 2 bits.  Texts me
    SMALL classes.  Candidates whose whole SimHashes (2 x 64 bits) differ in over FAR bits make no pair: at 0.8 that is
    four standard deviations away.
 4. Classes of larger buckets that are still open, so texts that share much with very many others, are opened by their
-   rarest shingles, and exactly: with the shingles of each set in the order of their frequency among these classes, two
+   rarest shingles, and exactly: with the shingles of each set in one order, by how often shingles of their slot occur among these classes, two
    sets that overlap enough share a shingle before either has too few left (9 x min(left) >= 4 x (sizes together)).  What
    all share stands last and opens nothing, unless the texts are near copies indeed; of these, each is first held against
    the one that stands nearest to the core at any of its shingles, and of the pairs across components that remain, only
