@@ -46,8 +46,8 @@ LEAST = (4, 5)
 FAR = 38
 #: Buckets of up to so many classes are compared pair by pair; larger ones are opened by rare shingles.
 SMALL = 32
-#: Most counters of shingles that every task knows.
-SLOTS = 1 << 22
+#: Most counters of shingles that every task knows, a byte each, and how many of them travel to the driver in a row.
+SLOTS, PACKED = 1 << 22, 1 << 14
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, 2 * PARTS + 1, np.uint64)
 
@@ -181,17 +181,27 @@ def _hard(members: DataFrame, rooted: DataFrame) -> DataFrame:
 
 
 def counters(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets(fp, shingles) fall into each slot; a shingle's slot is its last bits, and occurs no more often than that.
+    """How many shingles of all sets(fp, shingles) fall into each slot, in eighths of a power of two; 0 where at most one does.
 
-    About two slots for each occurrence, SLOTS at most whatever the input.
+    A shingle's slot is its last bits, and it occurs no more often than that.  About two slots for each occurrence,
+    SLOTS at most whatever the input.  The counts are packed in tasks, so the driver gets a byte for each slot.
     """
     total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
     slots = min(SLOTS, 1 << max(10, (2 * total).bit_length()))
+    size = min(slots, PACKED)
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(size, np.uint8)
+        out[rows["slot"].to_numpy(np.int64) % size] = rows["level"]
+        return pd.DataFrame({"pack": rows["pack"].iloc[:1], "levels": [out.tobytes()]})
+
     each = sets.select(F.explode("shingles").alias("shingle")).groupBy(F.col("shingle").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot"))
-    found = each.agg(F.count("*").alias("n")).where("n > 1").toPandas()
-    out = np.ones(slots, np.int32)
-    out[found["slot"].to_numpy(np.int64)] = np.minimum(found["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
-    return out
+    level = F.least(F.floor(8 * F.log2("n")), F.lit(255)).cast("int").alias("level")
+    told = each.agg(F.count("*").alias("n")).where("n > 1").select((F.col("slot") / size).cast("int").alias("pack"), "slot", level)
+    out = np.zeros((slots // size, size), np.uint8)
+    for row in told.groupBy("pack").applyInPandas(packed, "pack int, levels binary").collect():  # slots / size rows at most
+        out[row["pack"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.reshape(-1)
 
 
 def first_shingles(sets: DataFrame) -> DataFrame:
@@ -210,7 +220,7 @@ def first_shingles(sets: DataFrame) -> DataFrame:
             size, left, first = [], [], []
             for found in b["shingles"]:
                 times = often[found & (len(often) - 1)]
-                shared = times > 1
+                shared = times > 0
                 n, least = int(shared.sum()), -(-len(found) * top // of)  # so many must be left to overlap with a fitting set
                 ranked = found[shared][np.lexsort((found[shared], times[shared]))]
                 size.append(len(found))

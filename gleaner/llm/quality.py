@@ -8,9 +8,9 @@ semantic analysis).  Every document is compared with every labelled vector by ex
 block, and the labels of its nearest neighbours are weighted by similarity.
 
 The labelled sample is bounded: about `most_labelled` rows, chosen by a hash of the key, half for each label
-where there are as many.  So what goes to the driver and back out by broadcast is most_labelled x (TERMS + 1)
-small numbers at most, whatever the corpus holds.  Repeats of a key's label are one; a key with both labels
-counts for each.
+where there are as many.  The model is learned from their counts in a task, so what goes to the driver and back out
+by broadcast is the model alone, about most_labelled x DIRECTIONS small numbers, whatever the corpus holds.  Repeats
+of a key's label are one; a key with both labels counts for each.
 
 Defined results: null texts and texts without words score 0, as there is nothing in them to be good; a text unlike
 every labelled one gets the sample's mean label; with no labels every score is 0.5; ties among neighbours go to the
@@ -19,6 +19,7 @@ earlier one by key.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -134,9 +135,16 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         for b in batches:
             yield pd.DataFrame({"key": b["key"], "label": b["label"], "counts": [terms.counts(t).tobytes() for t in b["text"]]})
 
-    found = sample.mapInPandas(count, "key string, label int, counts binary").orderBy("key", "label", "counts").toPandas()
-    counts = np.frombuffer(b"".join(found["counts"]), np.float32).reshape(-1, TERMS) if len(found) else np.zeros((0, TERMS), np.float32)
-    return Model(counts, found["label"].to_numpy(np.float32))
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if found := [b for b in batches if len(b)]:
+            rows = pd.concat(found)
+            counts = np.frombuffer(b"".join(rows["counts"]), np.float32).reshape(-1, TERMS)
+            yield pd.DataFrame({"model": [pickle.dumps(Model(counts, rows["label"].to_numpy(np.float32)))]})
+
+    # one task for the bounded sample: its counts and what is reckoned from them would be a tenth of a small driver's memory
+    in_order = sample.mapInPandas(count, "key string, label int, counts binary").repartition(1).sortWithinPartitions("key", "label", "counts")
+    learned = in_order.mapInPandas(learn, "model binary").first()
+    return pickle.loads(learned["model"]) if learned else Model(np.zeros((0, TERMS), np.float32), np.zeros(0, np.float32))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
