@@ -14,14 +14,16 @@ from gleaner.sources.scratch import dropped, stored
 
 #: Changes that one task applies one after the other, about.
 PART = 1 << 18
-_OUT = "place long, outcome string, state string, fields array<string>"
+_OUT = "place long, step long, outcome string, state string, fields array<string>"
+#: Of one key: changes of equal order by what they do, so that no layout of the log's files decides; place only parts those that are alike.
+_SORT = ["__key", "__order", "op", "given", "place"]
 
 
 def _applied(valid: Callable[[dict], bool] | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Fold over the changes of one part; a row comes in with the state that its key has before the part."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["__key", "__order", "place"], kind="stable")
+        rows = rows.sort_values(_SORT, kind="stable", na_position="first")
         key, state, out = None, None, []
         for k, op, given, before in zip(rows["__key"], rows["op"], rows["given"], rows["before"], strict=True):
             if k != key:
@@ -42,7 +44,7 @@ def _applied(valid: Callable[[dict], bool] | None) -> Callable[[pd.DataFrame], p
             state = after if outcome == "ok" else state
             out.append((outcome, None if state is None else json.dumps(state), changed))
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pd.DataFrame({"place": rows["place"], "outcome": columns[0], "state": columns[1], "fields": columns[2]})
+        return pd.DataFrame({"place": rows["place"], "step": rows["part"].astype("int64") * (1 << 32) + range(len(rows)), "outcome": columns[0], "state": columns[1], "fields": columns[2]})
 
     return run
 
@@ -51,7 +53,8 @@ def apply_log(table: DataFrame, log: DataFrame, key: str, order: str, unique: tu
     """(the table after the log, the log with `outcome` and `fields`): changes of a key take effect in the order of a column.
 
     log has the key, the order column, `op` (create, update or delete) and any columns of the table, where null keeps what
-    is there.  outcome is ok, no_op (an update that changes nothing), not_found, duplicate (a create of what is there) or
+    is there.  Changes of a key with equal order go by op, then by the JSON of what they set, so the log's files may be laid
+    out in any way.  outcome is ok, no_op (an update that changes nothing), not_found, duplicate (a create of what is there) or
     invalid (valid(row as a dict) is false for the row after it); what is not ok changes nothing.  fields names what an ok
     change set.  A key whose last row would repeat the unique columns of another row, as that was before or is after the
     log, keeps its row of before, and its changes are all conflict; of several keys that end so, the one that got
@@ -68,19 +71,19 @@ def apply_log(table: DataFrame, log: DataFrame, key: str, order: str, unique: tu
     told = numbered.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(order).alias("__order"), "place", "op", as_json(given).alias("given"))
     told = told.join(state, "__key", "left")
     parts = max(1, -(-numbered.count() // part))
-    rows = stored(told.repartitionByRange(parts, "__key", "__order", "place").withColumn("part", F.spark_partition_id()), "changes")
+    rows = stored(told.repartitionByRange(parts, *_SORT).withColumn("part", F.spark_partition_id()), "changes")
     spans = stored(rows.groupBy("__key").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last"), "spans")  # fewer than parts
     rows = rows.join(F.broadcast(spans.select("__key", "first")), "__key", "left").withColumn("turn", F.coalesce(F.col("part") - F.col("first"), F.lit(0)))
     columns, done = ["__key", "__order", "place", "op", "given", "before", "part"], []
     for turn in range(1 + (spans.agg(F.max(F.col("last") - F.col("first"))).first()[0] or 0)):
         now = rows.where(F.col("turn") == turn)
         if done:
-            latest = reduce(DataFrame.unionByName, done).join(rows.select("place", "__key", "__order"), "place").join(F.broadcast(spans.select("__key")), "__key", "left_semi")
-            handed = latest.groupBy("__key").agg(F.max(F.struct("__order", "place", "state"))["state"].alias("handed"))
+            latest = reduce(DataFrame.unionByName, done).join(rows.select("place", "__key"), "place").join(F.broadcast(spans.select("__key")), "__key", "left_semi")
+            handed = latest.groupBy("__key").agg(F.max(F.struct("step", "state"))["state"].alias("handed"))
             now = now.drop("before").join(F.broadcast(handed), "__key", "left").withColumnRenamed("handed", "before")  # fewer rows than parts
         done.append(stored(now.select(*columns).groupBy("part").applyInPandas(_applied(valid), _OUT), "applied"))
     applied = reduce(DataFrame.unionByName, done)
-    last = applied.join(rows.select("place", "__key", "__order"), "place").groupBy("__key").agg(F.max(F.struct("__order", "place", "state")).alias("x"), F.max(F.when(F.col("outcome") == "ok", F.struct("__order", "place"))).alias("since"))
+    last = applied.join(rows.select("place", "__key", "__order"), "place").groupBy("__key").agg(F.max(F.struct("step", "state")).alias("x"), F.max(F.when(F.col("outcome") == "ok", F.struct("__order"))).alias("since"))
     kind = table.select(*fields).schema
     ends = stored(last.select("__key", "since", F.from_json("x.state", kind).alias("row")), "ends")
     refused = _conflicts(table, ends, key, unique) if unique else ends.limit(0).select("__key")
