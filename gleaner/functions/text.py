@@ -30,7 +30,7 @@ def _composed(texts: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """Composed form; only texts that may need it are sent to Python."""
-    return F.coalesce(_composed(F.when(text.rlike(MAY_COMPOSE), text)), text)
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x{02FF}]") & text.rlike(MAY_COMPOSE), text)), text)  # what may compose is beyond; the cheap test first
 
 
 def normalize_text(text: Column, compose: bool = True) -> Column:
@@ -43,7 +43,7 @@ def normalize_text(text: Column, compose: bool = True) -> Column:
     out = F.lower(F.regexp_replace(nfc(out) if compose else out, r"[\p{Mn}\p{So}]", ""))
     for pattern, full in ABBREVIATIONS:
         out = F.regexp_replace(out, f"(?iU){pattern}", full)
-    return F.regexp_replace(F.regexp_replace(out, r"(?U)\s+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
 def bound(value: Column, f: Callable[[Column], Column]) -> Column:
