@@ -24,6 +24,8 @@ from gleaner.sources.scratch import stored
 LEAST_FUZZY = 6
 #: So many pairs of a word and a phrase are broadcast to the texts' words; more are joined by Spark's own choice.
 BROADCAST = 1 << 19
+#: So many pairs of a word and a longer phrase that it asks for are looked up in each text where it lies.
+IN_PLACE = 1 << 12
 _KIND = "position int, phrase string, weight int, category string"
 #: Runs of letters, and runs with hyphens in them: split at its hyphens, the second gives the first.
 _RUNS, _WORDS = r"(?U)\w+", r"(?U)[\w-]+"
@@ -80,11 +82,14 @@ def longer_hits(texts: DataFrame, pieces: DataFrame, phrases: DataFrame, key: st
     often = pieces.join(longer.select("run").distinct(), "run").groupBy("run").agg(F.sum("texts").alias("often"))
     rarest = longer.join(often, "run").groupBy("plain", "tight", "pattern", "n").agg(F.count("*").alias("there"), F.min(F.struct("often", "run"))["run"].alias("run")).where("there = n")
     asked = stored(pieces.join(rarest, "run").select("word", "plain", "tight", "pattern"), "asked")
-    asked = texts.select(key, F.explode("words").alias("word")).join(_sized(asked), "word").groupBy(key).agg(F.collect_set(F.struct("plain", "tight", "pattern")).alias("rules"))
-    found = texts.select(key, text, "loose").join(asked, key)
-    held = f"filter(rules, r -> loose or contains(`{text}`, r.tight))"
-    found = found.withColumn("m", F.expr(f"filter(transform({held}, r -> named_struct('plain', r.plain, 'found', regexp_extract(`{text}`, r.pattern, 0))), x -> x.found <> '')"))
-    return found.select(key, F.explode("m").alias("m")).select(key, "m.plain", "m.found")
+    if asked.count() <= IN_PLACE:  # then texts need not be shuffled
+        every = F.broadcast(asked.agg(F.collect_set("word").alias("asked")))
+        called = texts.crossJoin(every).select(key, text, "loose", F.explode(F.array_intersect("asked", "words")).alias("word")).join(F.broadcast(asked), "word")
+    else:
+        called = texts.select(key, F.explode("words").alias("word")).join(_sized(asked), "word").select(key, "plain", "tight", "pattern").distinct()
+        called = texts.select(key, text, "loose").join(called, key)
+    found = called.where(F.col("loose") | F.contains(text, "tight")).select(key, "plain", F.expr(f"regexp_extract(`{text}`, pattern, 0)").alias("found"))
+    return found.groupBy(key, "plain").agg(F.max("found").alias("found")).where("found <> ''")
 
 
 def phrase_hits(posts: DataFrame, phrases: DataFrame, key: str, text: str, fuzzy: bool) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,7 +1,6 @@
 """Counts by phrase against the hits themselves; what is said once is matched once."""
 
-import random
-
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text
@@ -17,7 +16,10 @@ def tables(spark):
     return posts, spark.createDataFrame([(i, p, 1, "c") for i, p in enumerate(RULES)], KIND)
 
 
-def test_counts_are_those_of_the_hits(spark):
+@pytest.mark.parametrize("in_place", [1 << 12, 0])
+def test_counts_are_those_of_the_hits(spark, monkeypatch, in_place):
+    monkeypatch.setattr(dictionary, "IN_PLACE", in_place)
+    monkeypatch.setattr(dictionary, "BROADCAST", in_place)
     posts, rules = tables(spark)
     for fuzzy in (True, False):
         hits = [h for h in dictionary.dictionary_hits(posts, rules, "id", fuzzy=fuzzy).collect()]
